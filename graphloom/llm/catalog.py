@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import handwritten, residue, secrets, split, tokenize
+from graphloom.llm import handwritten, ranking, residue, secrets, split, tokenize
 from graphloom.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,32 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(spread(table(spark, d, "chunks"))).groupBy("id").agg(F.min("chunk_text").alias("chunk_text"), F.max("n_secrets").alias("n_secrets"))
 
 
+_ORDER = r"""
+WITH e AS (SELECT graph_commit, regexp_replace(lower(trim(id)), '^sha256:\s*', '') AS id, max(source_tier) AS source_tier, max(CASE WHEN isnan(centrality) THEN NULL ELSE centrality END) AS centrality FROM entities GROUP BY 1, 2),
+r AS (SELECT DISTINCT rel_id, regexp_replace(lower(trim(source_id)), '^sha256:\s*', '') AS s, regexp_replace(lower(trim(target_id)), '^sha256:\s*', '') AS t, weight, drift FROM relationships),
+i AS (SELECT t AS id, round(avg(weight), 9) AS weight FROM r GROUP BY 1), o AS (SELECT s AS id, round(avg(drift), 9) AS drift FROM r GROUP BY 1),
+s AS (SELECT e.*, weight, -drift AS still FROM e LEFT JOIN i USING (id) LEFT JOIN o USING (id)),
+p AS (SELECT graph_commit, id, """ + ", ".join(
+    f"((rank() OVER (PARTITION BY graph_commit ORDER BY {c} NULLS FIRST) - 1) + (count(*) OVER (PARTITION BY graph_commit, {c})) / 2.0) / count(*) OVER (PARTITION BY graph_commit) AS p_{c}" for c in ("source_tier", "centrality", "weight", "still")
+) + r""" FROM s),
+z AS (SELECT graph_commit, id, round(0.25 * (""" + ") + 0.25 * (".join(ranking.probit_sql(f"p_{c}") for c in ("source_tier", "centrality", "weight", "still")) + r"""), 9) AS score FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY graph_commit ORDER BY score DESC, id) AS position FROM z)
+"""
+
+
+@query("p6_found", _ORDER + "SELECT graph_commit, id FROM n WHERE position <= 3")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    order = ranking.entity_order(table(spark, d, "entities"), table(spark, d, "relationships"))
+    return ranking.best(order, "graph_commit", "id", 3).select("graph_commit", "id")
+
+
+@query("p6_order", _ORDER + "SELECT graph_commit, id, round(score, 6) AS score FROM n")
+def p6_order(spark: SparkSession, d: str) -> DataFrame:
+    """The whole order: every entity with its score."""
+    order = ranking.entity_order(table(spark, d, "entities"), table(spark, d, "relationships"))
+    return order.select("graph_commit", "id", F.round("score", 6).alias("score"))
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, d, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
