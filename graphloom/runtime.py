@@ -43,11 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` in at least as many partitions as the session shuffles into; used before costly per-row work.
+    """``df`` in at least as many partitions as the cluster has cores; used before costly per-row work.
 
-    A table of few, large row groups would otherwise keep most cores idle.
+    A small table of few, large row groups would otherwise keep most cores idle. A large one has partitions enough and
+    is not shuffled.
     """
-    want = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    want = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
