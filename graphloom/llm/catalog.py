@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import handwritten, ranking, residue, secrets, split, tokenize
+from graphloom.llm import handwritten, neighbours, ranking, residue, secrets, split, tokenize
 from graphloom.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def p6_order(spark: SparkSession, d: str) -> DataFrame:
     return order.select("graph_commit", "id", F.round("score", 6).alias("score"))
 
 
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(spread(table(spark, d, "chunks").select("id", "embedding")))
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, d, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
