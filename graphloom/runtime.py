@@ -60,24 +60,25 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
 def salted_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    keys: str | list[str],
     how: str = "left",
     hot_rows: int = 200_000,
     salts: int = 16,
 ) -> DataFrame:
-    """Join on ``key`` where some keys of ``left`` may hold a large part of all rows.
+    """Join on ``keys`` where some keys of ``left`` may hold a large part of all rows.
 
     Keys with more than ``hot_rows`` rows in ``left`` are found by a pre-aggregated count. They are at most
     count(left) / hot_rows, so that list is broadcast. Only their rows get a salt, and only their partners in
     ``right`` are repeated once a salt; every other key joins as usual. Null keys join nothing.
     """
-    hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).filter(F.col(key).isNotNull())
-    hot = F.broadcast(hot.select(F.col(key).alias("__hot")))
-    lsalt = F.when(F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
-    l2 = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", lsalt).drop("__hot")
-    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r2 = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return l2.join(r2.hint("merge"), [key, "__salt"], how).drop("__salt")
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = left.groupBy(*keys).count().filter(F.col("count") > hot_rows).dropna(subset=keys)
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+    lsalt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    l2 = left.join(hot, keys, "left").withColumn("__salt", lsalt).drop("__hot")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    r2 = right.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return l2.join(r2.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def norm_kind(c: Column) -> Column:
