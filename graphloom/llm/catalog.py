@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import handwritten, neighbours, ranking, residue, secrets, split, tokenize
+from graphloom.llm import handwritten, leakage, neighbours, ranking, residue, secrets, split, tokenize
 from graphloom.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(spread(table(spark, d, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_tasks")).select("doc_id", "task_id")
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(spread(table(spark, d, "documents"))).select("doc_id")
