@@ -38,30 +38,26 @@ def probit(p: Column) -> Column:
 
 
 def percentiles(long: DataFrame, hot_rows: int = 200_000) -> DataFrame:
-    """``long`` (grp, k, item, value) with ``p``: the share of its group below each value plus half of its ties.
+    """``long`` (g, k, value and further columns) with ``p``: the share of its group below each value plus half of its ties.
 
     Null values are below every other and tie with each other. Equal values are counted first, so ties of any size are
     one row; counts are summed by coarse ranges of the value and then within them, so a group of any size is spread over
     as many tasks as it has ranges, and no window spans more distinct values than one range of one group has.
     """
-    key = F.struct("grp", "k", "value")
-    counts = long.groupBy("grp", "k", "value").agg(F.count(F.lit(1)).alias("c"))
+    long = long.withColumn("void", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    counts = long.groupBy("g", "k", "void", "value").agg(F.count(F.lit(1)).alias("c"))
     v = F.col("value")
-    band = F.when(v.isNull(), F.lit(-1_000_000)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * 64).cast("long"))
+    band = F.when(F.col("void"), F.lit(-1_000_000)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * 64).cast("long"))
     counts = counts.withColumn("band", band)
-    bands = counts.groupBy("grp", "k", "band").agg(F.sum("c").alias("size"))
-    every = Window.partitionBy("grp", "k")
+    bands = counts.groupBy("g", "k", "band").agg(F.sum("c").alias("size"))
+    every = Window.partitionBy("g", "k")
     before = every.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("grp", "k", "band", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("under"), F.sum("size").over(every).alias("n"))
-    same = Window.partitionBy("grp", "k", "band").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("g", "k", "band", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("under"), F.sum("size").over(every).alias("n"))
+    same = Window.partitionBy("g", "k", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("c").over(same), F.lit(0)))
-    on = [counts["grp"].eqNullSafe(bands["grp"]), counts["k"] == bands["k"], counts["band"] == bands["band"]]
-    ranked = counts.join(bands, on).select(F.struct(counts["grp"], counts["k"], "value").alias("key"), ((F.col("under") + F.col("inside") + F.col("c") / 2) / F.col("n")).alias("p"))
-    # structs with null fields compare as unequal, so the key is joined in a form without nulls
-    flat = F.concat_ws("\x1f", F.coalesce(F.to_json(F.struct(F.col("key.grp").alias("g"))), F.lit("")), F.col("key.k"), F.coalesce(F.col("key.value").cast("string"), F.lit("-")))
-    left = long.withColumn("key", key).withColumn("flat", flat).drop("key")
-    right = ranked.withColumn("flat", flat).select("flat", "p")
-    return salted_join(left, right, "flat", "inner", hot_rows).select("grp", "k", "item", "value", "p")
+    p = (F.col("under") + F.col("inside") + F.col("c") / 2) / F.col("n")
+    ranked = counts.join(bands, ["g", "k", "band"]).select("g", "k", "void", "value", p.alias("p"))
+    return salted_join(long, ranked, ["g", "k", "void", "value"], "inner", hot_rows)
 
 
 def fuse(items: DataFrame, grp: str, item: str, scores: Sequence[tuple[str, bool, float]], hot_rows: int = 200_000) -> DataFrame:
@@ -70,18 +66,20 @@ def fuse(items: DataFrame, grp: str, item: str, scores: Sequence[tuple[str, bool
     ``scores`` names columns, whether high is good, and their weights. Each is turned into its percentile within the
     group, ties averaged, and through the inverse normal distribution, so neither range nor outliers of a score matter.
     A null or NaN score counts as the worst. ``items`` must have a row an item and group; extra columns are left out; an
-    empty table gives no row.
+    empty table gives no row. Between the first and last step groups and items travel as hashes of 64 and 128 bits.
     """
     total = sum(w for _, _, w in scores)
     cells = []
-    for k, (name, high, weight) in enumerate(scores):
+    for k, (name, high, _) in enumerate(scores):
         v = F.col(name).cast("double")
         v = F.when(F.isnan(v), None).otherwise((v if high else -v) + F.lit(0.0))
-        cells.append(F.struct(F.lit(k).alias("k"), v.alias("value"), F.lit(weight / total).alias("w")))
-    weights = F.element_at(F.array(*(F.lit(w / total) for _, _, w in scores)), F.col("k") + 1)
-    long = items.select(F.col(grp).alias("grp"), F.col(item).alias("item"), F.explode(F.array(*cells)).alias("s")).select("grp", "item", "s.k", "s.value")
-    z = percentiles(long, hot_rows).withColumn("z", probit(F.col("p")) * weights)
-    return z.groupBy("grp", "item").agg(F.round(F.sum("z"), 9).alias("score")).select(F.col("grp").alias(grp), F.col("item").alias(item), "score")
+        cells.append(F.struct(F.lit(k).cast("byte").alias("k"), v.alias("value")))
+    marks = (F.xxhash64(grp).alias("g"), F.xxhash64(grp, item).alias("i1"), F.xxhash64(F.lit(5), item, grp).alias("i2"))
+    weights = F.element_at(F.array(*(F.lit(w / total) for _, _, w in scores)), F.col("k").cast("int") + 1)
+    long = items.select(*marks, F.explode(F.array(*cells)).alias("s")).select("g", "i1", "i2", "s.k", "s.value")
+    z = percentiles(long, hot_rows).select("i1", "i2", (probit(F.col("p")) * weights).alias("z"))
+    z = z.groupBy("i1", "i2").agg(F.round(F.sum("z"), 9).alias("score"))
+    return items.select(F.col(grp), F.col(item), *marks[1:]).join(z, ["i1", "i2"]).select(grp, item, "score")
 
 
 def best(ranked: DataFrame, grp: str, item: str, k: int) -> DataFrame:
@@ -98,10 +96,14 @@ def entity_scores(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """
     spelled = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"^sha256:\s*", "")
     e = entities.groupBy("graph_commit", spelled(F.col("id")).alias("id")).agg(F.max(F.nanvl("source_tier", F.lit(None))).alias("source_tier"), F.max(F.nanvl("centrality", F.lit(None))).alias("centrality"))
-    r = relationships.select("rel_id", spelled(F.col("source_id")).alias("s"), spelled(F.col("target_id")).alias("t"), "weight", "drift").distinct()
-    into = r.groupBy(F.col("t").alias("id")).agg(F.round(F.avg("weight"), 9).alias("weight"))
-    out = r.groupBy(F.col("s").alias("id")).agg(F.round(F.avg("drift"), 9).alias("drift"))
-    return e.join(into, "id", "left").join(out, "id", "left").select("graph_commit", "id", "source_tier", "centrality", "weight", "drift")
+    # edges need their ends for comparison only, so those travel as hashes of 128 bits
+    end = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(spelled(F.col(c))).alias("h1"), F.xxhash64(F.lit(5), spelled(F.col(c))).alias("h2")))
+    r = relationships.select("rel_id", end("source_id").alias("s"), end("target_id").alias("t"), "weight", "drift").distinct()
+    ends = F.array(F.struct(F.col("t").alias("e"), F.col("weight").alias("w"), F.lit(None).cast("double").alias("d")), F.struct(F.col("s").alias("e"), F.lit(None).cast("double").alias("w"), F.col("drift").alias("d")))
+    sums = r.select(F.explode(ends).alias("x")).filter("x.e IS NOT NULL").groupBy(F.col("x.e.h1").alias("h1"), F.col("x.e.h2").alias("h2"))
+    sums = sums.agg(F.round(F.avg("x.w"), 9).alias("weight"), F.round(F.avg("x.d"), 9).alias("drift"))
+    e = e.withColumns({"h1": F.xxhash64("id"), "h2": F.xxhash64(F.lit(5), "id")})
+    return e.join(sums, ["h1", "h2"], "left").select("graph_commit", "id", "source_tier", "centrality", "weight", "drift")
 
 
 def entity_order(entities: DataFrame, relationships: DataFrame) -> DataFrame:
