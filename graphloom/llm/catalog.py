@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import handwritten, leakage, neighbours, ranking, residue, secrets, split, tokenize
+from graphloom.llm import handwritten, leakage, matching, neighbours, ranking, residue, secrets, split, tokenize
 from graphloom.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    m = matching.matches(table(spark, d, "extracted_code"), table(spark, d, "extracted_doc"))
+    return m.select(F.least("code_id", "doc_id").alias("id_a"), F.greatest("code_id", "doc_id").alias("id_b"))
+
+
+@query("p3_matches")
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return matching.matches(table(spark, d, "extracted_code"), table(spark, d, "extracted_doc"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_lines(spread(table(spark, d, "chunks")))
