@@ -63,3 +63,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_report", _ORPHANS + "SELECT table_name, field, reason, strftime(seen_at, '%Y-%m') AS month, count(*) AS n_refs FROM every GROUP BY ALL")
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
+
+
+from graphloom.plans import core, formats  # noqa: E402, F401  (they register their queries here)
