@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import cut
 
-#: Bands and rows of the MinHash signature of each attribute.
-BANDS, ROWS = 32, 2
+#: Hashes of the MinHash signature of each attribute.
+HASHES = 32
 #: Words that names wear in prose and that say nothing about what is named.
 DRESS = frozenset("the a an of service manager component class module function method type file handler".split())
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
@@ -23,7 +23,7 @@ _FILE = re.compile(r"[\w@.-]+(?:/[\w@.-]+)*\.[A-Za-z]{1,8}\b")
 _LINE = re.compile(r":(\d+)\b|\(?lines? (\d+)\)?")
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"(?<![\w/.])\d+(?![\w/])")
-_HASHES = np.random.default_rng(11).integers(1, 1 << 62, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HASHES = np.random.default_rng(11).integers(1, 1 << 62, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def name_words(name: str) -> list[str]:
@@ -49,17 +49,20 @@ def said(text: str | None) -> tuple[list[str], set[str]]:
     return [w for w in _WORD.findall(t) if len(w) > 3], set(_NUMBER.findall(t))
 
 
-def bands(tokens: set[str]) -> list[int]:
-    """MinHash of a set of tokens, folded into one number a band; none for an empty set."""
-    if not tokens:
+def signature(tokens: set[str]) -> list[int]:
+    """MinHash of the pairs of a set of tokens: the elements that are least under any of the hashes.
+
+    Pairs are what makes a record telling: two that share a single word share no pair. A single token stands for itself.
+    """
+    t = sorted(tokens)
+    pairs = [f"{a} {b}" for i, a in enumerate(t) for b in t[i + 1 :]] or t
+    if not pairs:
         return []
-    x = np.array([xxhash.xxh64_intdigest(t) for t in tokens], dtype=np.uint64)[:, None]
+    x = np.array([xxhash.xxh64_intdigest(p) for p in pairs], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        h = x * _HASHES[0] + _HASHES[1]
-        h ^= h >> np.uint64(29)
-        low = (h * np.uint64(0xBF58476D1CE4E5B9)).min(0).reshape(BANDS, ROWS)
-        key = low[:, 0] * np.uint64(31) + low[:, 1] + np.arange(BANDS, dtype=np.uint64)
-    return key.astype(np.int64).tolist()
+        h = x[:, None] * _HASHES[0] + _HASHES[1]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x[np.unique(h.argmin(0))].astype(np.int64).tolist()
 
 
 def near(a: str, b: str) -> bool:
@@ -163,7 +166,7 @@ def common_words(code: DataFrame, doc: DataFrame, share: float = 0.02, manner: f
 
 
 def candidates(code: DataFrame, doc: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(code_id, doc_id): records of one project that share a band of the MinHash of an attribute, or a place.
+    """(code_id, doc_id): records of one project that share an element of the MinHash of an attribute, or a place.
 
     Names, descriptions (telling words and numbers) and places are signed one by one, so two records meet if any one of
     them is alike. Keys hold the project, and common words are left out, so no key gathers a project's records.
@@ -175,8 +178,8 @@ def candidates(code: DataFrame, doc: DataFrame, common: frozenset[str]) -> DataF
             for i, project, name, text, source, line in f[["ent_id", "project", "name", "description", "source_file", "def_line"]].itertuples(index=False):
                 words, numbers = said(text)
                 own = {w for w in words if w not in common}
-                keys = [("n", k) for k in bands({bone(w) for w in name_words(name)})]
-                keys += [("d", k) for k in bands({bone(w) + w[-1] for w in own} | numbers)]
+                keys = [("n", k) for k in signature({bone(w) for w in name_words(name)})]
+                keys += [("d", k) for k in signature({bone(w) + w[-1] for w in own} | numbers)]
                 paths, at = places(text)
                 spots = {(p, at or "") for p in paths} | {(p, "") for p in _FILE.findall(" ".join(_PAREN.findall(name)))}
                 if line == line and line is not None:
