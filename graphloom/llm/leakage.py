@@ -21,8 +21,9 @@ _WORD = re.compile(r"[^\W_]+")
 WINDOW, SLIDE, SPAN, STEP = 24, 8, 45, 22
 #: Rank of the latent space, and the cosine in it from which a window is looked at word by word.
 RANK, COSINE = 256, 0.25
-#: Weight from which a term counts as telling; a window without three such terms is close to no passage.
-TELLING = 3.0
+#: A term in at most this share of the documents, or in so few of them, is telling; a window without three such terms
+#: is close to no passage.
+TELLING, FEW = 0.05, 50
 #: Words of a passage that must be repeated, words of the smaller part of an interrupted one, and of the interruption.
 LEAST, PART, INTERRUPTION = 20, 6, 160
 
@@ -105,10 +106,10 @@ class Terms:
 class Probe:
     """What every task needs to search documents: the terms, their weights, the latent basis and the passages."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, rare: float, basis: np.ndarray, of: np.ndarray, latent: np.ndarray, passages: list[tuple[int, np.ndarray]]):
+    def __init__(self, terms: Terms, idf: np.ndarray, telling: np.ndarray, rare: float, basis: np.ndarray, of: np.ndarray, latent: np.ndarray, passages: list[tuple[int, np.ndarray]]):
         self.terms, self.idf, self.rare, self.passages, self.of, self.latent = terms, idf, rare, passages, of, latent
         self.rows = (basis * idf[:, None]).astype(np.float32)
-        self.telling = idf >= TELLING
+        self.telling = telling
 
     def candidates(self, at: np.ndarray) -> dict[int, tuple[int, int]]:
         """Passage number to the span of words of the windows that come close to it."""
@@ -245,7 +246,7 @@ def leaks(docs: DataFrame, tasks: DataFrame, doc_col: str = "doc_id", text_col:
         latent.append(own @ basis)
         of += [i] * len(own)
     passages = [(t, terms.numbers(w)) for t, w in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(Probe(terms, idf, rare, basis, np.array(of), np.vstack(latent).T.astype(np.float32), passages))
+    shared = docs.sparkSession.sparkContext.broadcast(Probe(terms, idf, (df <= FEW) | (df <= TELLING * n), rare, basis, np.array(of), np.vstack(latent).T.astype(np.float32), passages))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         probe = shared.value

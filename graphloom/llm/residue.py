@@ -149,10 +149,10 @@ def response(t: str) -> tuple[bool, bool]:
     if not words and not re.search(r"\d", t) or len(words) > LOW_WORDS:
         return False, False
     lines = [x for line in t.split("\n") for x in ([line] if "<title>" in line.lower() else re.split(r"(?<=[.!?])\s+", line)) if x.strip()]
-    hits = [x for x in lines if any(m.search(x) for m in _MESSAGES) and not (_TELLS.search(x) and not re.match(r"^\W*(?:if this keeps|when you)", x, re.I))]
+    hits = [x for x in lines if any(m.search(x) for m in _MESSAGES) and not (_TELLS.search(_HOST.sub(" ", x)) and not re.match(r"^\W*(?:if this keeps|when you)", x, re.I))]
     # a title line above the message says nothing for or against it
     told = [x for k, x in enumerate(lines) if not (k == 0 and len(lines) > 1 and len(_WORD.findall(x)) <= 6 and x not in hits)]
-    return bool(hits) and 2 * len(hits) >= len(told), bool(hits) or bool(_WEAK.search(t)) and not _TELLS.search(t)
+    return bool(hits) and 2 * len(hits) >= len(told), bool(hits) or bool(_WEAK.search(t)) and not _TELLS.search(_HOST.sub(" ", t))
 
 
 def skeleton(t: str) -> int:
