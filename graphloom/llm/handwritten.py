@@ -182,7 +182,7 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("ven") | (first.isin(*VENDOR_DIRS) & deep), "vendored")
         .when(F.col("gen") | ((F.col("serial") >= 0.7 * code) & (F.col("lines") >= 5)), "generated")
-        .when((F.col("dense") >= 0.5 * size), "minified")
+        .when(F.col("dense") >= 0.4 * size, "minified")
         .when((F.col("data") >= 0.85 * code) & (F.col("data") >= 200), "data")
     )
     seen = own.select("source_path", reason.alias("reason"))
