@@ -502,3 +502,86 @@ def gold_recall(spark: SparkSession, d: str) -> DataFrame:
 def pagerank_importance(spark: SparkSession, d: str) -> DataFrame:
     """Extension: importance by links."""
     return G.pagerank(_n(spark, d), _e(spark, d))
+
+
+# ---- concepts, budgets and extensions
+@query("path_kinds", f"WITH p AS (SELECT DISTINCT source_path AS p FROM chunks WHERE source_path IS NOT NULL) SELECT CASE WHEN {_code('p')} THEN 'code' WHEN {' OR '.join(f'''ends_with(lower(p), '{s}')''' for s in S.OPS_EXT)} THEN 'ops' ELSE 'prose' END AS path_kind, count(*) AS n_files FROM p GROUP BY 1")
+def path_kinds(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "chunks").select(F.col("source_path").alias("p")).filter("p IS NOT NULL").distinct()
+    return p.groupBy(F.when(S.is_code_path(F.col("p")), "code").when(S.is_ops_path(F.col("p")), "ops").otherwise("prose").alias("path_kind")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("slug_labels", "SELECT node_id, regexp_replace(regexp_replace(lower(trim(pref_label)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM concepts")
+def slug_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "concepts").select("node_id", S.slug(F.col("pref_label")).alias("slug"))
+
+
+_HUB = f"hub AS (SELECT DISTINCT {_canon('node_id')} AS node_id FROM concepts)"
+
+
+def _concept_links(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that point at a concept. The hubs are curated, and are broadcast after a check of their number."""
+    from graphloom.operators.orphans import canonical_id
+    from graphloom.runtime import small_enough
+
+    hubs = table(spark, d, "concepts").select(canonical_id(F.col("node_id")).alias("target_id")).distinct()
+    return _e(spark, d).join(F.broadcast(hubs) if small_enough(hubs, 100_000) else hubs, "target_id", "left_semi")
+
+
+@query("concept_topology", GRAPH + f", {_HUB}, c AS (SELECT source_id, count(DISTINCT target_id) AS n_concepts FROM e WHERE target_id IN (SELECT node_id FROM hub) GROUP BY 1) SELECT n_concepts, count(*) AS n_entities FROM c GROUP BY 1")
+def concept_topology(spark: SparkSession, d: str) -> DataFrame:
+    c = _concept_links(spark, d).groupBy("source_id").agg(F.count_distinct("target_id").alias("n_concepts"))
+    return c.groupBy("n_concepts").agg(F.count(F.lit(1)).alias("n_entities"))
+
+
+@query("concept_governing_docs", GRAPH + f", {_HUB}, s AS (SELECT id AS source_id, unnest(sources) AS doc FROM n) SELECT target_id AS node_id, count(DISTINCT doc) FILTER (WHERE NOT {_code('doc')}) AS n_docs, count(DISTINCT source_id) AS n_entities FROM e JOIN s USING (source_id) WHERE target_id IN (SELECT node_id FROM hub) GROUP BY 1")
+def concept_governing_docs(spark: SparkSession, d: str) -> DataFrame:
+    s = _n(spark, d).select(F.col("id").alias("source_id"), F.explode("sources").alias("doc"))
+    j = _concept_links(spark, d).join(s, "source_id")
+    return j.groupBy(F.col("target_id").alias("node_id")).agg(F.count_distinct(F.when(~S.is_code_path(F.col("doc")), F.col("doc"))).alias("n_docs"), F.count_distinct("source_id").alias("n_entities"))
+
+
+_CTX = GRAPH + """, g AS (SELECT a AS id, count(*) AS degree FROM adj GROUP BY 1),
+c AS (SELECT n.id, split_part(list_min(sources), '/', 1) AS project, n.name || ' (' || n.kind || ')' AS line, 2 * coalesce(degree, 0) + CASE n.kind WHEN 'module' THEN 3 WHEN 'class' THEN 2 WHEN 'function' THEN 1 ELSE 0 END AS points FROM n LEFT JOIN g USING (id) WHERE n.kind IS NOT NULL AND len(sources) > 0),
+u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY project ORDER BY points DESC, id) AS used FROM c), o AS (SELECT project, min(used) FILTER (WHERE used > 400) AS over FROM u GROUP BY 1)
+SELECT project, count(*) AS n_lines, max(used) AS n_chars FROM u JOIN o USING (project) WHERE over IS NULL OR used < over GROUP BY 1"""
+
+
+@query("code_context_budget", _CTX)
+def code_context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The context block of each project: its best connected definitions, up to the first that overruns the budget."""
+    from graphloom.operators.extract import budgeted
+
+    n = _n(spark, d).filter("kind IS NOT NULL AND size(sources) > 0").join(G.degrees(_e(spark, d)), "id", "left")
+    kind = F.when(F.col("kind") == "module", 3).when(F.col("kind") == "class", 2).when(F.col("kind") == "function", 1).otherwise(0)
+    c = n.select("id", F.substring_index(F.array_min("sources"), "/", 1).alias("project"), F.concat("name", F.lit(" ("), "kind", F.lit(")")).alias("line"), (2 * F.coalesce("degree", F.lit(0)) + kind).alias("points"))
+    kept = budgeted(c, "project", [F.col("points").desc(), "id"], "line", 400)
+    return kept.groupBy("project").agg(F.count(F.lit(1)).alias("n_lines"), F.max("used").alias("n_chars"))
+
+
+@query("scope_rollup", "WITH p AS (SELECT DISTINCT source_path AS p FROM chunks WHERE source_path IS NOT NULL), a AS (SELECT array_to_string(list_slice(string_split(p, '/'), 1, i), '/') AS scope FROM (SELECT p, unnest(range(1, len(string_split(p, '/')) + 1)) AS i FROM p)) SELECT scope, count(*) AS n FROM a GROUP BY 1")
+def scope_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: files at or below every ancestor of their scope."""
+    from graphloom.operators.extract import rollup_ancestors
+
+    return rollup_ancestors(table(spark, d, "chunks").filter("source_path IS NOT NULL").select("source_path").distinct(), "source_path")
+
+
+@query(
+    "degree_hotspots",
+    GRAPH + ", g AS (SELECT a AS id, count(*) AS degree FROM adj GROUP BY 1), o AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM g), q AS (SELECT min(degree) AS cut FROM o WHERE i = least(n - 1, floor(0.9 * n))) SELECT id, degree FROM g, q WHERE degree >= cut",
+)
+def degree_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: nodes in the top tenth by degree."""
+    from graphloom.operators.extract import hotspots
+
+    return hotspots(G.degrees(_e(spark, d)).select("id", "degree"), "degree")
+
+
+@query("evidence_spans")
+def evidence_spans(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.operators.extract import evidence
+    from graphloom.sources.parsers import files_of_chunks
+
+    f = files_of_chunks(table(spark, d, "chunks")).filter(S.is_code_path(F.col("path")))
+    return evidence(f, [r"\braise\b|\bthrow\b", r"\.open\("])
