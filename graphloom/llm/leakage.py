@@ -21,9 +21,14 @@ _WORD = re.compile(r"[^\W_]+")
 WINDOW, SLIDE, SPAN, STEP = 24, 8, 45, 22
 #: Rank of the latent space, and the cosine in it from which a window is looked at word by word.
 RANK, COSINE = 256, 0.25
-#: A term in at most this share of the documents, or in so few of them, is telling; a window without three such terms
-#: is close to no passage.
+#: A term in at most this share of the documents, or in so few of them, is telling. The latent space is asked about windows
+#: of three such terms; where LEAST words of a passage hold fewer than SEEDS of them, its terms are sought one by one.
 TELLING, FEW = 0.05, 50
+#: Terms of one passage, in its order but for DRIFT words and within REACH words, that have a place looked at word by word
+#: whatever the terms weigh. 20 words found at the price of 13 lost, the most that an alignment bears, leave 6 terms.
+SEEDS, REACH, DRIFT = 6, 33, 8
+#: Words that are aligned at once, besides what lies around them.
+STRETCH = 2000
 #: Words of a passage that must be repeated, words of the smaller part of an interrupted one, and of the interruption.
 LEAST, PART, INTERRUPTION = 20, 6, 160
 
@@ -110,13 +115,23 @@ class Probe:
         self.terms, self.idf, self.rare, self.passages, self.of, self.latent = terms, idf, rare, passages, of, latent
         self.rows = (basis * idf[:, None]).astype(np.float32)
         self.telling = telling
-
-    def candidates(self, at: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Passage number to the span of words of the windows that come close to it."""
-        place, term = self.terms.of(at)
+        # the passages and places that hold each term, one term's after the other's, where LEAST words are short of telling terms
+        rows = []
+        for i, (_, p) in enumerate(passages):
+            at, own = terms.of(p)
+            short = np.convolve(telling[own], np.ones(LEAST - 1), "valid") < SEEDS
+            keep = np.convolve(short, np.ones(LEAST - 1)) > 0
+            rows.append((own[keep], np.full(np.count_nonzero(keep), i), at[keep]))
+        term, who, at = map(np.concatenate, zip(*rows))
+        order = np.argsort(term, kind="stable")
+        self.held, self.stands = who[order], at[order]
+        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
+
+    def close(self, at: np.ndarray, place: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, words at which windows begin): windows that come close to a passage in the latent space."""
         telling = self.telling[term]
         if np.count_nonzero(telling) < 3:
-            return {}
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.arange(0, max(1, len(at) - WINDOW + SLIDE), SLIDE)
         end = np.minimum(start + WINDOW - 1, len(at) - 1)
         weight = np.full(len(at) - 1, self.rare**2)
@@ -128,15 +143,49 @@ class Probe:
         # a projection is no longer than what is projected
         most = np.append(0, np.cumsum(self.idf[term] ** 2))
         maybe = np.flatnonzero((b - a >= 3) & (np.sqrt(most[b] - most[a]) >= COSINE * norm))
-        out: dict[int, tuple[int, int]] = {}
         if not len(maybe):
-            return out
+            return maybe, maybe
         sums = np.vstack([self.rows[term[a[w] : b[w]]].sum(0) for w in maybe])
-        cos = sums @ self.latent / norm[maybe, None]
-        for w, q in zip(*np.nonzero(cos >= COSINE)):
-            p, s = int(self.of[q]), int(start[maybe[w]])
-            lo, hi = out.get(p, (s, s))
-            out[p] = (min(lo, s), max(hi, s + WINDOW))
+        w, q = np.nonzero(sums @ self.latent / norm[maybe, None] >= COSINE)
+        return self.of[q], start[maybe[w]]
+
+    def seeded(self, place: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, words): places where SEEDS terms of one passage stand nearly as they stand in it.
+
+        Only parts of passages that are short of telling terms are sought so. Weights have no say here: a passage that stands in a large part of the documents makes its own terms common, and
+        rare words beside them would then hide it from the latent space.
+        """
+        k = SEEDS - 1
+        if not len(self.held):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        per = self.first[term + 1] - self.first[term]
+        i = np.repeat(self.first[term] - np.cumsum(per) + per, per) + np.arange(per.sum())
+        who, where = self.held[i], np.repeat(place, per)
+        shift = where - self.stands[i] + (1 << 20)
+        out = []
+        # bands of shifts overlap by half, so a drift of DRIFT words lies in one of them
+        for off in (0, DRIFT):
+            key = (who << 40) + (shift + off) // (2 * DRIFT)
+            order = np.argsort(key, kind="stable")
+            key, w = key[order], where[order]
+            near = np.flatnonzero((key[k:] == key[:-k]) & (w[k:] - w[:-k] < REACH)) if len(key) > k else order[:0]
+            out.append((key[near] >> 40, w[near]))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def candidates(self, at: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Passage number to the spans of words in which windows come close to it or hold its terms."""
+        place, term = self.terms.of(at)
+        if len(place) < 3:
+            return {}
+        p, s = map(np.concatenate, zip(self.close(at, place, term), self.seeded(place, term)))
+        order = np.lexsort((s, p))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for i, x in zip(p[order].tolist(), s[order].tolist()):
+            spans = out.setdefault(i, [])
+            if spans and x - spans[-1][1] <= 2 * (len(self.passages[i][1]) + INTERRUPTION) and x - spans[-1][0] <= STRETCH:
+                spans[-1] = spans[-1][0], x + WINDOW
+            else:
+                spans.append((x, x + WINDOW))
         return out
 
     def search(self, text: str) -> list[tuple[int, int]]:
@@ -146,10 +195,10 @@ class Probe:
             return []
         at = self.terms.numbers(w)
         found = []
-        for p, (lo, hi) in self.candidates(at).items():
+        for p, spans in self.candidates(at).items():
             task, passage = self.passages[p]
             wide = len(passage) + INTERRUPTION
-            m = repeated(passage, at[max(0, lo - wide) : hi + wide])
+            m = max(repeated(passage, at[max(0, lo - wide) : hi + wide]) for lo, hi in spans)
             if m >= LEAST:
                 found.append((task, m))
         return found
@@ -207,8 +256,9 @@ def leaks(docs: DataFrame, tasks: DataFrame, doc_col: str = "doc_id", text_col:
 
     Passages are a held-out set of bounded size (``most_words`` in all, else refused) and are broadcast. Their terms,
     pairs of adjacent words, are weighted by their frequency over all documents; the windows of all passages span a latent space by a randomised SVD;
-    every window of every document is placed in it, and those close to a passage's window by cosine are aligned with the
-    passage word by word. A null or short text repeats nothing; a passage under LEAST words cannot leak; a null passage
+    every window of every document is placed in it, and those close to a passage's window by cosine, or holding SEEDS
+    terms of a part of it that is short of telling ones, are aligned with the passage word by word. An interruption is at most INTERRUPTION
+    words long, and the smaller part at least PART. A null or short text repeats nothing; a passage under LEAST words cannot leak; a null passage
     is none. Repeated tasks give one row; extra columns are left out.
     """
     clean = tasks.select(F.col(task_col).cast("long").alias("t"), F.col(passage_col).alias("p")).filter("t IS NOT NULL AND p IS NOT NULL").distinct()

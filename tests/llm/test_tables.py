@@ -146,6 +146,19 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), t).count() == 0 and leakage.leaks(d, t.limit(0)).count() == 0
 
 
+def test_a_passage_in_a_third_of_the_documents_leaks(spark):
+    rng = random.Random(4)
+    p, few = passage(rng), passage(rng)
+    fill = lambda n: [f"f{rng.randrange(100_000)}" for _ in range(n)]
+    hot = [(i, " ".join(fill(30 + i % 8) + p + fill(40))) for i in range(100)]
+    part = [(100 + i, " ".join(fill(30 + i % 8) + p[i % 50 : i % 50 + 22] + fill(40))) for i in range(40)]
+    shared = [(140 + i, " ".join(fill(30 + i % 8) + p[i : i + 11] + fill(40))) for i in range(20)]
+    rest = [(160 + i, " ".join(fill(90))) for i in range(140)]
+    d = spark.createDataFrame([*hot, *part, *shared, *rest, (500, " ".join(fill(30) + few + fill(30)))], "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(few))], "task_id long, passage string")
+    assert {(r.doc_id, r.task_id) for r in leakage.leaks(d, t).collect()} == {(i, 1) for i in range(140)} | {(500, 2)}
+
+
 def test_alignment_is_nearly_without_gaps():
     a = np.arange(30)
     assert leakage.align(a, a)[0] == 30
