@@ -104,27 +104,56 @@ def _entries(reps: DataFrame, m: int, level: int, probes: bool) -> DataFrame:
     return reps.select("h", "v").mapInPandas(run, "bucket long, h long, s1 long, s2 long")
 
 
-def _pairs(reps: DataFrame, m: int, hot: int, level: int = 0, most_levels: int = 8) -> DataFrame:
+def _crowded(index: DataFrame, probe: DataFrame, reps: DataFrame, full: DataFrame, hot: int, k: int, least: float) -> DataFrame:
+    """(a, b), a < b: of every vector that probes a crowded bucket, the best of that bucket, compared exactly.
+
+    Both sides are dealt into parts of about ``hot`` members and each part meets each, so no task holds a bucket. A
+    meeting gives the ``k`` + 8 best of each vector at most, some more than can count, for what single precision mixes up.
+    """
+    parts = full.select("bucket", F.ceil(F.col("count") / hot).cast("int").alias("n"))
+    deal = lambda c: F.pmod(F.xxhash64("h", F.lit(c)), F.col("n")).cast("int").alias(c)
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(c)
+    members = index.select("bucket", "h").join(parts, "bucket").select("bucket", "h", deal("i"), each("j")).join(reps, "h")
+    asking = probe.select("bucket", "h").join(parts, "bucket").select("bucket", "h", deal("j"), each("i")).join(reps, "h")
+
+    def meet(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for dim, g in m.groupby(m["v"].map(len)):
+            x, hx = np.stack(g["v"].to_list()).astype(np.float64), g["h"].to_numpy()
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            ask = q[q["v"].map(len) == dim]
+            for at in range(0, len(ask), 1024):
+                part = ask.iloc[at : at + 1024]
+                y, hy = np.stack(part["v"].to_list()).astype(np.float64), part["h"].to_numpy()
+                c = (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32) @ x.T
+                c[hy[:, None] == hx[None, :]] = -2
+                top = np.argpartition(-c, min(k + 8, len(hx)) - 1, axis=1)[:, : k + 8]
+                r, t = np.nonzero(np.take_along_axis(c, top, 1) >= least - 1e-5)
+                a.append(hy[r])
+                b.append(hx[top[r, t]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return members.groupBy("bucket", "i", "j").cogroup(asking.groupBy("bucket", "i", "j")).applyInPandas(meet, "a long, b long")
+
+
+def _pairs(reps: DataFrame, m: int, hot: int, k: int, least: float) -> DataFrame:
     """(a, b), a < b: vectors that share a probed bucket and whose sketches are close.
 
-    Buckets of more than ``hot`` vectors are taken out and their vectors hashed again, four times as finely, until no
-    such bucket is left; equal vectors are one here, so they part in the end.
+    Buckets of more than ``hot`` vectors are compared exactly, in parts.
     """
-    index = cut(_entries(reps, m, level, False))
-    full = index.groupBy("bucket").count().filter(F.col("count") > hot).select("bucket")
-    any_hot = level < most_levels and bool(full.take(1))
+    index = cut(_entries(reps, m, 0, False))
+    full = index.groupBy("bucket").count().filter(F.col("count") > hot)
+    any_hot = bool(full.take(1))
     keep = index.join(full, "bucket", "left_anti") if any_hot else index
-    probe = _entries(reps, m, level, True)
+    probe = _entries(reps, m, 0, True)
     near = (
         probe.join(keep.select("bucket", F.col("h").alias("h2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")).hint("shuffle_hash"), "bucket")
         .filter((F.col("h") != F.col("h2")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= SKETCH_BITS))
         .select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"))
         .distinct()
     )
-    if not any_hot:
-        return near
-    again = index.join(full, "bucket", "left_semi").select("h").distinct()
-    return near.unionByName(_pairs(cut(reps.join(again, "h", "left_semi")), m, hot, level + 1, most_levels)).distinct()
+    return near.unionByName(_crowded(index, probe, reps, full, hot, k, least)).distinct() if any_hot else near
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -147,7 +176,7 @@ def neighbours(chunks: DataFrame, k: int = 5, least: float = 0.9, id_col: str =
     reps = own.groupBy("h").agg(F.min("v").alias("v"))
     reps = cut(reps)
     m = hashes_for(reps.count())
-    pairs = _pairs(reps, m, hot)
+    pairs = _pairs(reps, m, hot, k, least)
     both = pairs.join(reps.select(F.col("h").alias("a"), F.col("v").alias("va")), "a").join(reps.select(F.col("h").alias("b"), F.col("v").alias("vb")), "b")
     near = both.withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least).select("a", "b", "cosine")
     near = cut(near)

@@ -116,6 +116,18 @@ def test_equal_vectors_and_crowded_buckets(spark):
     assert neighbours.neighbour_pairs(df.limit(0)).count() == 0
 
 
+def test_a_crowded_bucket_of_unlike_vectors_loses_no_pair(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(64) + 0.28 * rng.standard_normal((300, 64))
+    df = spark.createDataFrame([(f"i{k:03d}", v.tolist()) for k, v in enumerate(x)], "id string, embedding array<float>")
+    f = x.astype(np.float32).astype(float)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    c = f @ f.T - 9 * np.eye(300)
+    want = {(i, j) for i in range(300) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.9}
+    got = {(int(r.id[1:]), int(r.other[1:])) for r in neighbours.neighbours(df, hot=20).collect()}
+    assert len(want) > 1000 and len(want & got) >= 0.97 * len(want)
+
+
 # ---- leakage
 def passage(rng, n=80):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
