@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder of spark.checkpoint.dir.
 
-    A folder of our own is set only where none is configured, as in tests on one machine.
+    A temporary folder stands in only for a session on one machine without that setting, as in tests; it goes when the
+    process ends. On a cluster a session without the setting is refused, as the folder of one machine would be lost with it.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="graphloom-"))
+        if not where:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="graphloom-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
@@ -63,21 +72,25 @@ def salted_join(
     keys: str | list[str],
     how: str = "left",
     hot_rows: int = 200_000,
-    salts: int = 16,
+    most_hot: int = 100_000,
 ) -> DataFrame:
     """Join on ``keys`` where some keys of ``left`` may hold a large part of all rows.
 
-    Keys with more than ``hot_rows`` rows in ``left`` are found by a pre-aggregated count. They are at most
-    count(left) / hot_rows, so that list is broadcast. Only their rows get a salt, and only their partners in
-    ``right`` are repeated once a salt; every other key joins as usual. Null keys join nothing.
+    Keys with more than ``hot_rows`` rows in ``left`` are found by a pre-aggregated count and get as many salts as they
+    have times ``hot_rows`` rows; only their partners in ``right`` are repeated, once a salt. The list of hot keys is
+    broadcast and holds the ``most_hot`` largest at most: a key beyond it has less than 1 / ``most_hot`` of all rows and
+    is joined whole like every other key. Without a hot key this is a plain join. Null keys join nothing.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    hot = left.groupBy(*keys).count().filter(F.col("count") > hot_rows).dropna(subset=keys)
-    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
-    lsalt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
-    l2 = left.join(hot, keys, "left").withColumn("__salt", lsalt).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r2 = right.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    counts = left.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > hot_rows)
+    salts = F.ceil(F.col("count") / hot_rows).cast("int").alias("__n")
+    hot = cut(counts.orderBy(F.col("count").desc()).limit(most_hot).select(*keys, salts))
+    if not hot.take(1):
+        return left.join(right.hint("merge"), keys, how)
+    hot = F.broadcast(hot)
+    lsalt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__n")).cast("int"), F.lit(0))
+    l2 = left.join(hot, keys, "left").withColumn("__salt", lsalt).drop("__n")
+    r2 = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1))).drop("__n")
     return l2.join(r2.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
