@@ -106,7 +106,7 @@ def test_equal_vectors_and_crowded_buckets(spark):
     rng = np.random.default_rng(3)
     crowd = [(f"c{k:03d}", (np.array([4.0, -1, 2, 0]) + 1e-3 * rng.standard_normal(4)).tolist()) for k in range(80)]
     df = spark.createDataFrame([*same, *crowd], "id string, embedding array<float>")
-    got = neighbours.neighbours(df, hot=20).collect()
+    got = neighbours.neighbours(df, hot=20, block=30).collect()
     by = {}
     for r in got:
         by.setdefault(r.id, []).append(r.other)
@@ -124,10 +124,19 @@ def test_a_crowded_bucket_of_unlike_vectors_loses_no_pair(spark):
     f /= np.linalg.norm(f, axis=1, keepdims=True)
     c = f @ f.T - 9 * np.eye(300)
     want = {(i, j) for i in range(300) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.9}
-    got = {(int(r.id[1:]), int(r.other[1:])) for r in neighbours.neighbours(df, hot=20).collect()}
+    got = {(int(r.id[1:]), int(r.other[1:])) for r in neighbours.neighbours(df, hot=20, block=30).collect()}
     assert len(want) > 1000 and len(want & got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("rows", [10, 100_000, 1_000_000, 100_000_000, 1_000_000_000])
+def test_the_tables_find_what_is_stated_at_any_size(rows):
+    plan = neighbours.plan_for(rows, 0.9)
+    for cosine in (0.9, 0.92, 0.95):
+        one = neighbours.found_share(plan.hashes, cosine, trials=8000, seed=77)[plan.probes - 1]
+        assert 1 - (1 - one) ** plan.tables >= 0.95
+    assert rows * neighbours.stranger_chance() ** plan.hashes <= neighbours.STRANGERS[1]
+
+
 # ---- leakage
 def passage(rng, n=80):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
