@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import cut
+from graphloom.runtime import cut, salted_join, small_enough
 
 #: Hashes of the MinHash signature of each attribute.
 HASHES = 32
@@ -169,7 +170,8 @@ def candidates(code: DataFrame, doc: DataFrame, common: frozenset[str]) -> DataF
     """(code_id, doc_id): records of one project that share an element of the MinHash of an attribute, or a place.
 
     Names, descriptions (telling words and numbers) and places are signed one by one, so two records meet if any one of
-    them is alike. Keys hold the project, and common words are left out, so no key gathers a project's records.
+    them is alike. Keys hold the project, and common words are left out, so a key gathers no more than the records of one project that
+    bear one name; mentions beyond 20,000 a key are dealt to several tasks.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +193,8 @@ def candidates(code: DataFrame, doc: DataFrame, common: frozenset[str]) -> DataF
 
     a = code.mapInPandas(run, "ent_id long, key long")
     b = doc.mapInPandas(run, "ent_id long, key long")
-    return a.select(F.col("ent_id").alias("code_id"), "key").join(b.select(F.col("ent_id").alias("doc_id"), "key"), "key").select("code_id", "doc_id").distinct()
+    left, right = b.select(F.col("ent_id").alias("doc_id"), "key"), a.select(F.col("ent_id").alias("code_id"), "key")
+    return salted_join(left, right, "key", "inner", hot_rows=20_000).select("code_id", "doc_id").distinct()
 
 
 def views(code: DataFrame, doc: DataFrame, pairs: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -226,72 +229,121 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds
     return b
 
 
-#: Views, each with the features it holds and the number of values of each.
-_TEXT, _NAME = (("tw", 4), ("tn", 3), ("tc", 3)), (("nm", 5), ("pl", 5))
+#: Features of a pair and how many values each has: name, place, telling words, numbers, common words, pair of kinds.
+FEATURES = (("nm", 5), ("pl", 5), ("tw", 4), ("tn", 3), ("tc", 3), ("kd", 5))
 
 
-def _onehot(f: pd.DataFrame, view: tuple[tuple[str, int], ...]) -> np.ndarray:
-    return np.hstack([np.eye(n)[f[c].to_numpy()] for c, n in view] + [np.ones((len(f), 1))])
+#: What the weights of all labelled pairs sum to.
+FIT_WEIGHT = 3000.0
 
 
-def train(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, float], tuple[float, float]]:
-    """Weights of both views, log odds of pairs of kinds, and the calibration, from weak labels.
+def design(f: pd.DataFrame) -> np.ndarray:
+    """One column a value of each feature, one a pair of values of two features, and the constant."""
+    one = [np.eye(n)[f[c].to_numpy(int)] for c, n in FEATURES]
+    both = [(a[:, :, None] * b[:, None, :]).reshape(len(f), a.shape[1] * b.shape[1]) for i, a in enumerate(one) for b in one[i + 1 :]]
+    return np.hstack([*one, *both, np.ones((len(f), 1))])
 
-    Each view is labelled by the other: texts that share telling words and the number, or that share nothing, label names
-    and places; equal names, or places to the line, and unlike names label texts. Pairs are counted by their features first, so every pair takes part
-    and the driver sees one row a combination. Half of the pairs fit the views, the other half the calibration.
+
+def weak_labels(f: pd.DataFrame) -> np.ndarray:
+    """1, 0, or -1 for none: votes of the single features, as far as they do not contradict each other.
+
+    For a match vote a like name (twice if its words are the same), all telling words, an equal number, the file, and
+    (twice) the line. Against it vote an unlike name, no telling word (twice under an unlike name), another file, and
+    (twice each) unlike numbers and another line. Two votes for and none against make a match; two against that
+    outnumber those for, or an unlike name without any vote for, make none. Every other pair has no label: what becomes of it
+    is the classifier's to say, as is the confidence of all.
     """
-    half = F.pmod(F.xxhash64("code_id", "doc_id"), F.lit(2)).alias("half")
-    table = pairs.groupBy("nm", "pl", "tw", "tn", "tc", half).count().toPandas()
-    by_text = np.where((table.tw == 2) & (table.tn == 1), 1, np.where((table.tw == 0) & (table.tn == 0), 0, -1))
-    by_name = np.where(table.nm.isin([3, 4]) & table.pl.isin([0, 2, 3]) | (table.pl == 3), 1, np.where(table.nm == 0, 0, -1))
-    out = []
-    for view, label in ((_NAME, by_text), (_TEXT, by_name)):
-        ok = (label >= 0) & (table.half == 0)
-        t = table[ok]
-        out.append(_fit(_onehot(t, view), label[ok].astype(float), t["count"].to_numpy(float)) if ok.any() and len(set(label[ok])) == 2 else np.zeros(sum(n for _, n in view) + 1))
-    own = pairs.filter("(tw = 2 AND tn = 1) OR pl = 3").groupBy("kinds").agg(F.count(F.lit(1)).alias("yes"))
-    alien = pairs.filter("tw = 0 AND tn = 0 AND nm = 0").groupBy("kinds").agg(F.count(F.lit(1)).alias("no"))
-    k = own.join(alien, "kinds", "full").fillna(0).limit(10_000).toPandas()
-    odds = np.log((k.yes + 1) / (k.yes.sum() + 20)) - np.log((k.no + 1) / (k.no.sum() + 20)) if len(k) else np.zeros(0)
-    kinds = {str(a): float(np.clip(b, -1.5, 1.5)) for a, b in zip(k.kinds, odds)}
-    # calibration: the summed evidence of both views against labels on which both agree
-    z = _onehot(table, _NAME) @ out[0] + _onehot(table, _TEXT) @ out[1]
-    label = np.where((by_text == 1) & (by_name == 1), 1, np.where((by_text == 0) & (by_name == 0), 0, -1))
-    ok = (label >= 0) & (table.half == 1)
-    if ok.any() and len(set(label[ok])) == 2:
-        a, b = _fit(np.stack([z[ok], np.ones(ok.sum())], 1), label[ok].astype(float), table["count"][ok].to_numpy(float))
-    else:
-        a, b = 1.0, 0.0
-    return out[0], out[1], kinds, (float(a), float(b))
+    like, none = f.nm >= 3, f.tw == 0
+    pro = like.astype(int) + (f.nm == 4) + (f.tw == 2) + (f.tn == 1) + (f.pl == 2) + 2 * (f.pl == 3)
+    con = 2 * (f.tn == 0) + 2 * (f.pl == 4) + (f.pl == 1) + (f.nm == 0) + none + (none & ~like)
+    return np.where((pro >= 2) & (con == 0), 1, np.where((con >= 2) & (con > pro) | (pro == 0) & ~like, 0, -1))
 
 
-def matches(code: DataFrame, doc: DataFrame, least: float = 0.5) -> DataFrame:
-    """(code_id, doc_id, confidence): each mention with the definition that it most probably means, if any.
+def kind_levels(pairs: DataFrame) -> DataFrame:
+    """(kinds, kd): how much a pair of kinds speaks for a match, in five levels; 2 where too little is known.
 
-    Candidates come from :func:`candidates`, their features from :func:`views`, weights and calibration from
-    :func:`train`. What speaks against a match outweighs a name: unlike numbers without a shared telling word, another
-    file, or another line are refused. A mention has one definition, the most probable, then the smaller id; a definition
-    may have many mentions. Null descriptions, kinds and names are no evidence either way. Empty tables give no row.
+    Odds are those among pairs with the same telling words and number, or the same line, against pairs that share nothing.
+    """
+    own = F.count_if(F.expr("(tw = 2 AND tn = 1) OR pl = 3")).alias("yes")
+    alien = F.count_if(F.expr("tw = 0 AND tn = 0 AND nm = 0")).alias("no")
+    k = pairs.groupBy("kinds").agg(own, alien)
+    total = k.agg(F.sum("yes").alias("ys"), F.sum("no").alias("ns"))
+    odds = F.log((F.col("yes") + 1) / (F.col("ys") + 20)) - F.log((F.col("no") + 1) / (F.col("ns") + 20))
+    level = F.when(odds < -1.5, 0).when(odds < -0.5, 1).when(odds <= 0.5, 2).when(odds <= 1.5, 3).otherwise(4)
+    return k.crossJoin(F.broadcast(total)).select("kinds", level.cast("int").alias("kd"))
+
+
+class Model(NamedTuple):
+    """Weights of the columns of :func:`design`, slope and shift of the calibration, and its table on held-out pairs."""
+
+    weights: np.ndarray
+    slope: float
+    shift: float
+    reliability: pd.DataFrame
+
+    def probability(self, f: pd.DataFrame) -> np.ndarray:
+        z = design(f) @ self.weights * self.slope + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def train(counts: pd.DataFrame) -> Model:
+    """A logistic model over features and their pairs, from weak labels, calibrated on held-out pairs.
+
+    ``counts`` has the number of pairs by features and by ``part`` (0 fits the weights, 1 the calibration), so every
+    pair takes part while the driver sees one row a combination of features, of which there are 2 x 4,500 at most.
     """
+    label = weak_labels(counts)
+    w = counts["count"].to_numpy(float)
+    fit, held = (label >= 0) & (counts.part == 0), (label >= 0) & (counts.part == 1)
+    x = design(counts)
+    if not fit.any() or len(set(label[fit])) < 2:
+        fit = label >= 0
+    if not fit.any():
+        return Model(np.zeros(x.shape[1]), 1.0, 0.0, pd.DataFrame())
+    # weights sum to the same whatever the number of pairs, so the pull to zero means the same at every size
+    b = _fit(x[fit], label[fit].astype(float), w[fit] * (FIT_WEIGHT / w[fit].sum()), ridge=0.3)
+    slope, shift = 1.0, 0.0
+    z = x @ b
+    if held.any() and len(set(label[held])) == 2:
+        slope, shift = _fit(np.stack([z[held], np.ones(held.sum())], 1), label[held].astype(float), w[held], ridge=1e-3)
+    model = Model(b, float(slope), float(shift), pd.DataFrame())
+    p = model.probability(counts[held])
+    bins = pd.DataFrame({"bin": np.minimum((p * 10).astype(int), 9), "p": p * w[held], "y": label[held] * w[held], "n": w[held]}).groupby("bin").sum()
+    table = pd.DataFrame({"pairs": bins.n, "mean_confidence": bins.p / bins.n, "share_of_matches": bins.y / bins.n})
+    return model._replace(reliability=table)
+
+
+def scored_pairs(code: DataFrame, doc: DataFrame) -> tuple[DataFrame, Model]:
+    """All candidate pairs with their features and confidence, and the model behind it."""
     code, doc = with_project(records(code), records(doc))
     code, doc = cut(code), cut(doc)
     common = common_words(code, doc)
     pairs = cut(views(code, doc, candidates(code, doc, common), common))
-    name_w, text_w, kinds, (slope, shift) = train(pairs)
-
-    def value(view: tuple[tuple[str, int], ...], w: np.ndarray):
-        at, total = 0, F.lit(float(w[-1]))
-        for c, n in view:
-            total = total + F.element_at(F.array(*(F.lit(float(x)) for x in w[at : at + n])), F.col(c) + 1)
-            at += n
-        return total
-
-    odds = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("kinds")), F.lit(0.0)) if kinds else F.lit(0.0)
-    z = value(_NAME, name_w) + value(_TEXT, text_w)
-    p = 1 / (1 + F.exp(-(z * slope + shift + 0.5 * odds)))
-    against = ((F.col("tn") == 0) & (F.col("pl") != 3)) | F.col("pl").isin(4) | ((F.col("pl") == 1) & (F.col("nm") != 4)) | ((F.col("nm") < 3) & (F.col("tw").isin(0, 3) | ((F.col("tw") == 1) & (F.col("pl") != 2))) & (F.col("pl") != 3)) | ((F.col("tw") == 0) & (F.col("tn") != 1) & (F.col("pl") != 3))
-    sure = (F.col("nm").isin(3, 4) & (F.col("tn") != 0) & (F.col("tw") != 0)) | ((F.col("tw") == 2) & (F.col("tn") == 1)) | (F.col("pl") == 3)
-    scored = pairs.withColumn("confidence", F.when(against, F.least(p, F.lit(0.49))).when(sure, F.greatest(p, F.lit(0.5))).otherwise(p))
-    best = Window.partitionBy("doc_id").orderBy(F.col("confidence").desc(), (z + 0.5 * odds).desc(), "code_id")
-    return scored.filter(F.col("confidence") >= least).withColumn("r", F.row_number().over(best)).filter("r = 1").select("code_id", "doc_id", F.round("confidence", 6).alias("confidence"))
+    levels = cut(kind_levels(pairs))
+    if small_enough(levels, 100_000):
+        pairs = pairs.join(F.broadcast(levels), "kinds")
+    else:
+        pairs = salted_join(pairs, levels, "kinds", "inner")
+    names = [c for c, _ in FEATURES]
+    part = F.pmod(F.xxhash64("code_id", "doc_id"), F.lit(2)).alias("part")
+    counts = pairs.groupBy(*names, part).count().toPandas()
+    model = train(counts)
+    every = counts[names].drop_duplicates().reset_index(drop=True)
+    every["confidence"] = model.probability(every) if len(every) else np.zeros(0)
+    schema = ", ".join(f"{c} int" for c in names) + ", confidence double"
+    table = code.sparkSession.createDataFrame([tuple(int(x) for x in r[:-1]) + (float(r[-1]),) for r in every.itertuples(index=False)], schema)
+    return pairs.join(F.broadcast(table), names), model
+
+
+def matches(code: DataFrame, doc: DataFrame, least: float = 0.5) -> DataFrame:
+    """(code_id, doc_id, confidence): each mention with the definition that it most probably means, if any.
+
+    Candidates come from :func:`candidates`, their features from :func:`views`, the confidence from the model that
+    :func:`train` fits and calibrates; a pair is taken if and only if its confidence is ``least`` or more and no other
+    definition of that mention has more. Equal confidences go to the closer name, then to the smaller id. A definition
+    may have many mentions. Null descriptions, kinds and names are no evidence either way. Empty tables give no row.
+    """
+    scored, _ = scored_pairs(code, doc)
+    best = Window.partitionBy("doc_id").orderBy(F.col("confidence").desc(), F.col("nm").desc(), "code_id")
+    taken = scored.filter(F.col("confidence") >= least).withColumn("r", F.row_number().over(best)).filter("r = 1")
+    return taken.select("code_id", "doc_id", F.round("confidence", 6).alias("confidence"))
