@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import cut, salted_join
+from graphloom.runtime import cut, salted_join, small_enough
 
 #: Width of a bucket on unit vectors.
 WIDTH = 2.0
@@ -170,7 +170,7 @@ def _crowded(index: DataFrame, probe: DataFrame, reps: DataFrame, full: DataFram
     Both sides are dealt into parts of about ``block`` members and each part meets each, so no task holds a bucket. A
     meeting gives the ``k`` + 8 best of each vector at most, some more than can count, for what single precision mixes up.
     """
-    parts = full.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    parts = full.withColumn("n", F.ceil(F.col("count") / block).cast("int"))
     deal = lambda c: F.pmod(F.xxhash64("h", F.lit(c)), F.col("n")).cast("int").alias(c)
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(c)
     members = index.select("bucket", "h").join(parts, "bucket").select("bucket", "h", deal("i"), each("j")).join(reps, "h")
@@ -204,8 +204,10 @@ def _pairs(reps: DataFrame, plan: Plan, hot: int, block: int, k: int, least: flo
     and give the best of each vector only.
     """
     index = cut(_entries(reps, plan, False))
-    full = index.groupBy("bucket").count().filter(F.col("count") > hot)
+    full = cut(index.groupBy("bucket").count().filter(F.col("count") > hot))
     any_hot = bool(full.take(1))
+    if small_enough(full, 200_000):
+        full = F.broadcast(full)
     keep = index.join(full, "bucket", "left_anti") if any_hot else index
     probe = _entries(reps, plan, True)
     near = (
