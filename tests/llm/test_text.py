@@ -2,6 +2,7 @@
 
 import base64
 import os
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -193,6 +194,39 @@ def test_kinds_of_foreign_code(spark):
     assert handwritten.not_handwritten(chunks(spark, [])).count() == 0
 
 
+def test_marks_at_any_depth_of_the_head():
+    licence = "/*\n" + " * Permission is granted to anyone.\n" * 40 + " */\n\n"
+    assert handwritten.head_marks(licence + "// Code generated by tool. DO NOT EDIT.\npackage x\n")[:2] == (True, False)
+    assert handwritten.head_marks("x = 1\n# Code generated by tool. DO NOT EDIT.\n")[:2] == (False, False)
+    assert handwritten.head_marks("# Diese Datei wurde automatisch erzeugt\n")[0] and handwritten.head_marks("# Please do not edit this file\n")[0]
+    for line in ("# the parser of drafts emits a DO NOT EDIT banner", "// looks for files generated by tools", "# our notes on code copied from lib 2.0"):
+        assert handwritten.head_marks(line + "\n")[:2] == (False, False)
+    assert handwritten.head_marks("// Copied from larkparse tag 1.2.3\n") == (False, True, "larkparse")
+
+
+def test_trees_of_any_depth_take_one_pass(spark):
+    path = "/".join(f"d{i}" for i in range(20))
+    rows = [(f"{p}{k}", HAND * 4 + f"K = {k}\n", f"{p}/{top}/{path}/f{k}.py", "entity", 0) for p, top in (("one", "lib"), ("two", "sources")) for k in range(3)]
+    rows += [("x", HAND * 4 + "K = 9\n", "one/lib/own.py", "entity", 0)]
+    began = time.perf_counter()
+    got = {r.source_path: r.reason for r in handwritten.not_handwritten(chunks(spark, rows)).collect()}
+    assert got == {r[2]: "shared" for r in rows[:-1]}
+    assert time.perf_counter() - began < 10
+
+
+def test_directories_alone_are_no_evidence(spark):
+    rows = [
+        ("1", HAND + "A = 1\n", "one/vendor/oddlib/src/a.py", "entity", 0),
+        ("2", HAND + "B = 1\n", "one/vendor/pairlib/a.py", "entity", 0),
+        ("3", HAND + "C = 1\n", "two/deps/pairlib@2.1/b.py", "entity", 0),
+        ("4", HAND + "D = 1\n", "two/third_party/toldlib/b.py", "entity", 0),
+        ("5", "# Copied from toldlib tag 3\n" + HAND + "E = 1\n", "three/src/e.py", "entity", 0),
+        ("6", HAND + "F = 1\n", "three/src/vendor/pairlib/f.py", "entity", 0),
+    ]
+    got = {r.source_path for r in handwritten.not_handwritten(chunks(spark, rows)).collect()}
+    assert got == {rows[k][2] for k in (1, 2, 3, 4)}
+
+
 def test_shared_subtrees_across_projects(spark):
     tree = {"m/a.py": HAND * 3 + "A = 1\n", "m/n/b.py": HAND + "B = 2\n"}
     rows = [(f"{p}{f}", t, f"{p}/src/{f}", "entity", 0) for p in ("one", "two") for f, t in tree.items()] + [("z", HAND + "C = 3\n", "one/src/c.py", "entity", 0)]
