@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -12,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import cut, salted_join
+
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
@@ -70,20 +74,32 @@ MESSAGES = (
     r"(?:derzeit|momentan|vorübergehend) nicht (?:verfügbar|erreichbar)|temporairement indisponible|(?:temporalmente|actualmente) no (?:está )?disponible|is (?:temporarily|currently) (?:unavailable|down)|down for maintenance|wartungsarbeiten",
     r"^\W*access (?:is |was |has been )?(?:denied|blocked|forbidden)|you (?:do not|don't) have (?:permission|access)|you are not (?:allowed|authori[sz]ed)|not authori[sz]ed to|acc[eè]s refusé|acceso denegado|zugriff verweigert|keine berechtigung|permission denied|no tiene(?:s)? permiso|vous n'avez pas (?:l'autorisation|accès)",
     r"if this keeps happening|contact (?:the )?(?:operators?|administrators?|support|webmaster)\b.{0,60}\b(?:quote|mention|code|reference)|^\W*(?:request|reference|référence|referencia|vorgang|incident|trace|ray|código|code|error|support)\s*(?:id|number|nr\.?|no\.?|#|:)*\s*#?[0-9a-f-]{8,}\W*$",
-    r"(?:enable|turn on|activate|allow|switch on|requires?|needs?|without)\b.{0,30}\b(?:java ?script|scripts?|scripting|cookies)\b|(?:java ?script|scripts?|scripting)\b.{0,30}\b(?:is|are)\b.{0,12}\b(?:off|disabled|required|blocked|needed)|does not run scripts|activez (?:le )?javascript|javascript (?:einschalten|aktivieren|ist deaktiviert|doit être|est requis|activado|desactivado)|(?:active|habilite|activa|habilita) (?:el )?javascript|aktivieren sie (?:bitte )?javascript|scripts? to load",
+    r"(?:enable|turn on|activate|allow|switch on|requires?|needs?)\b.{0,30}\b(?:java ?script|scripts?|scripting|cookies)\b|\bwithout (?:java ?script|scripts|scripting|cookies)\b|(?:java ?script|scripts?|scripting)\b.{0,30}\b(?:is|are)\b.{0,12}\b(?:off|disabled|required|blocked|needed)|does not run scripts|activez (?:le )?javascript|javascript (?:einschalten|aktivieren|ist deaktiviert|doit être|est requis|activado|desactivado)|(?:active|habilite|activa|habilita) (?:el )?javascript|aktivieren sie (?:bitte )?javascript|scripts? to load",
     r"check(?:ing)? (?:that|if) (?:you are|you're|the site connection)|verify(?:ing)? (?:that )?you are (?:a )?human|are you a (?:human|robot)|reviews the security of your connection|security of your connection|one more step|captcha|unusual traffic|ddos protection",
     r"rate limit(?:ed)? exceeded|too many (?:requests|attempts)|quota exceeded|session (?:has )?expired|please (?:log|sign) in to continue",
     r"^\W*\S+ loading\s*(?:\.\.\.|…)\W*$|^\W*loading\s*(?:\.\.\.|…)?\W*$|nothing rendered|template \S+ missing",
 )
 _MESSAGES = [re.compile(m, re.I) for m in MESSAGES]
-#: A sentence with one of these tells about a message and is none.
-_TELLS = re.compile(r"\b(?:when(?:ever)?|if the|returns?|answers?|means|traced|decided|must work|changelog|notice|clears|translated|retries|used to|the fix|fixed|on purpose|because|errors? (?:from|of|in)|log(?:s|ged)?|we |our |documented|handler|handled|shows?|prints?|printed|replies|responds?|tests? |asserts?|wenn|falls|lorsque|quand|si le|cuando)\b", re.I)
+#: Parts of words of which at least one stands in every message above that has no status number.
+HINTS = (
+    "error", "fehler", "erreur", "found", "gone", "conflict", "request", "payment", "payload", "forbidden", "acceptable", "gateway", "unavailable", "implemented", "not allowed", "authori", "located", "longer exist", "exist",
+    "moved", "oops", "sorry", "uh-oh", "uh oh", "whoops", "hoppla", "ups", "seite", "page", "página", "accueil", "startseite", "inicio", "wrong", "moment", "try again", "come back", "retry", "reload", "intentarlo", "essayez",
+    "später", "connect", "traceback", "exception", "fatal", "uncaught", "unhandled", "file \"", "status", "code", "upstream", "verfügbar", "erreichbar", "indisponible", "disponible", "down", "wartung", "denied", "blocked",
+    "permission", "have access", "acceso", "acces", "accès", "zugriff", "berechtigung", "permiso", "autorisation", "keeps happening", "contact", "reference", "référence", "referencia", "vorgang", "incident", "trace", "ray", "código", "support",
+    "script", "cookies", "human", "robot", "security", "captcha", "traffic", "ddos", "one more step", "check", "verify", "rate limit", "too many", "quota", "session", "sign in", "log in", "loading", "rendered", "missing", "unable to", "failed to", "could not", "cannot", "can't",
+)
+_CODE = re.compile(r"\b[45]\d\d\b")
 _WEAK = re.compile(r"\b(?:error|fehler|erreur|page|seite|página|found|access|acceso|accès|zugriff|script\w*|javascript|browser|navegador|navigateur|server|servidor|serveur|request|permission|available|verfügbar|disponible|denied|blocked|expired|timeout|security|human|connection|maintenance|reload|retry)\b", re.I)
 _HOST = re.compile(r"\b[a-z0-9-]+(?:\.[a-z0-9-]+){1,4}\b(?:/\S*)?", re.I)
 _HEX = re.compile(r"\b[0-9a-f]{6,}\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words and characters up to which a response counts as of low information.
-LOW_WORDS, LOW_CHARS = 60, 1500
+#: Words of a sentence that may lie outside the message it holds: with more of them it tells about the message.
+REST = 9
+_BLOCK = re.compile(r"<(script|style|head|noscript)\b(?!.*<title).*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: A frame of a stack trace, and with it the line of program text below it.
+_FRAME = re.compile(r"^[ \t]*(?:File \"[^\"\n]+\", line \d+[^\n]*\n(?:[ \t]+[^\n]*(?:\n|$))?|at [\w.$<>/]+\([^)\n]*\)[^\n]*(?:\n|$)|\.{3} \d+ more[^\n]*(?:\n|$))", re.M)
 
 
 def prose(text: str) -> str:
@@ -117,6 +133,15 @@ def _hints() -> ahocorasick.Automaton:
     return a
 
 
+@lru_cache(maxsize=1)
+def _message_hints() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in HINTS:
+        a.add_word(w, 1)
+    a.make_automaton()
+    return a
+
+
 def filler(t: str) -> bool:
     """Whether a run of filler Latin, a line of keyboard words or a line that only stands in for text is in ``t``."""
     low = t.lower()
@@ -134,39 +159,85 @@ def filler(t: str) -> bool:
             run = run + 1 if w in LATIN else 0
             if run >= 8:
                 return True
-        if len(line) <= 300:
-            for s in re.split(r"(?<=[.!…])\s+", line):
-                if s.lower().strip(" .…!()[]*_:").strip() in _STUBS:
-                    return True
+        for s in re.split(r"(?<=[.!…])\s+", line):
+            if len(s) < 80 and s.lower().strip(" .…!()[]*_:").strip() in _STUBS:
+                return True
     return False
 
 
+def visible(t: str) -> str:
+    """What a reader of a page sees: its title on a line of its own, then the text without tags, scripts and styles."""
+    if "<" not in t:
+        return t
+    title = " ".join(_TITLE.findall(t))
+    body = _TAG.sub("\n", _BLOCK.sub("\n", _TITLE.sub(" ", t)))
+    return f"{title}\n{body}" if title.strip() else body
+
+
+def sentences(t: str) -> list[str]:
+    return [x for line in t.split("\n") for x in re.split(r"(?<=[.!?])\s+", line) if _WORD.search(x) or re.search(r"\d", x)]
+
+
+def is_message(sentence: str) -> bool:
+    """Whether a sentence is a message of a server or gate, and does not only tell about one.
+
+    Quoted words are not the sentence's own; of the rest no more than REST words may lie outside what the forms match.
+    """
+    s = _QUOTED.sub(" ", sentence) if not sentence.lstrip().startswith(("{", "File")) else sentence
+    spans = sorted(m.span() for form in _MESSAGES for m in form.finditer(s))
+    if not spans:
+        return False
+    rest, end = [], 0
+    for a, b in spans:
+        rest.append(s[end:a] if a > end else " ")
+        end = max(end, b)
+    return len(_WORD.findall(_HOST.sub(" ", " ".join([*rest, s[end:]])))) <= REST
+
+
 def response(t: str) -> tuple[bool, bool]:
-    """(is a message, might be one): whether most sentences of a short text are what servers and gates say."""
-    if len(t) > LOW_CHARS:
-        return False, False
-    words = _WORD.findall(re.sub(r"<[^>]*>", " ", t))
-    if not words and not re.search(r"\d", t) or len(words) > LOW_WORDS:
-        return False, False
-    lines = [x for line in t.split("\n") for x in ([line] if "<title>" in line.lower() else re.split(r"(?<=[.!?])\s+", line)) if x.strip()]
-    hits = [x for x in lines if any(m.search(x) for m in _MESSAGES) and not (_TELLS.search(_HOST.sub(" ", x)) and not re.match(r"^\W*(?:if this keeps|when you)", x, re.I))]
-    # a title line above the message says nothing for or against it
-    told = [x for k, x in enumerate(lines) if not (k == 0 and len(lines) > 1 and len(_WORD.findall(x)) <= 6 and x not in hits)]
-    return bool(hits) and 2 * len(hits) >= len(told), bool(hits) or bool(_WEAK.search(t)) and not _TELLS.search(_HOST.sub(" ", t))
+    """(is a message, might be one): whether at least half of the sentences of a text are what servers and gates say.
+
+    Texts of any length are judged by what is visible of them: tags, scripts, styles and the frames of a stack trace are
+    neither for nor against. A title of a few words says nothing either. A text that might be one is of low information:
+    one of its sentences is a message, or it has three sentences at most and a word that messages are made of.
+    """
+    trace = ('", line ' in t or " at " in t or "\tat " in t or t.startswith("at ")) and bool(_FRAME.search(t))
+    told = sentences(visible(_FRAME.sub("", t) if trace else t))
+    if not told:
+        return trace, trace
+    need = (len(told) - 1) / 2 - len(_CODE.findall(t))
+    if not trace and need > 0 and (len(told) > 3 or not _WEAK.search(t)):
+        # less than half of the sentences can be messages
+        if sum(1 for _ in islice(_message_hints().iter(t.lower()), math.ceil(need))) < need:
+            return False, False
+    hits = [is_message(x) for x in told]
+    n, k = len(told), sum(hits) + trace
+    if not hits[0] and n > 1 and len(_WORD.findall(told[0])) <= 6:
+        n -= 1
+    return bool(k) and 2 * k >= n + trace, bool(k) or (n <= 3 and bool(_WEAK.search(t)))
+
+
+def hash_of(t: str) -> int:
+    return xxhash.xxh64_intdigest(t) - (1 << 63)
 
 
 def skeleton(t: str) -> int:
     """A hash of a response without what changes from copy to copy: hosts, paths, numbers, references and its first title."""
     s = _HEX.sub("0", _HOST.sub("h", t.lower()))
     s = re.sub(r"\d+", "0", s)
-    return xxhash.xxh64_intdigest(" ".join(_WORD.findall(s))) - (1 << 63)
+    return hash_of(" ".join(_WORD.findall(s)))
+
+
+def terms(text: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(_HOST.sub(" ", text))}
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, hard, weak, mismatch, skel, body): what one document tells by itself.
+    """(doc_id, host, slug, slot, message, mismatch, skel, body) of the texts that show anything at all.
 
-    ``hard``: filler, an unfilled placeholder or a message of a server. ``weak``: a text of low information that might be
-    one. ``mismatch``: none of the terms of its address (the last part of source_path) stands in it.
+    ``slot``: 1 an unfilled placeholder, 2 filler, 0 neither. ``message``: at least half of it is what servers say; else it
+    is of low information and might be. ``mismatch``: no term of its address (the last part of source_path) stands in its
+    title, the first line that has words, or in its body. ``skel`` and ``body`` are hashes of its wording and its text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,36 +249,39 @@ def features(docs: DataFrame) -> DataFrame:
                 t = prose(text)
                 if not t.strip():
                     continue
-                sure, maybe = response(t)
-                hard = sure or placeholder(t) or filler(t)
-                if not hard and not maybe:
+                slot = 1 if placeholder(t) else 2 if filler(t) else 0
+                sure, maybe = (False, False) if slot else response(t)
+                if not slot and not maybe:
                     continue
-                slug = {w.lower() for w in _WORD.findall((path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0])}
-                own = {w.lower() for w in _WORD.findall(_HOST.sub(" ", t))} if maybe else set()
-                rows.append((doc, host, hard, maybe, not (slug & own), skeleton(t) if maybe else 0, xxhash.xxh64_intdigest(t) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "hard", "weak", "mismatch", "skel", "body"])
+                slug = terms((path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0])
+                title = next((x for x in visible(t).split("\n") if _WORD.search(x)), "") if maybe else ""
+                miss = maybe and not slug & terms(title) and not slug & terms(t)
+                rows.append((doc, host, hash_of(" ".join(sorted(slug))), slot, sure, miss, skeleton(t) if maybe else 0, hash_of(t)))
+            yield pd.DataFrame(rows, columns=["doc_id", "host", "slug", "slot", "message", "mismatch", "skel", "body"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.col("source").cast("string"), F.col("source_path").cast("string")).mapInPandas(run, f"doc_id {kind}, host string, hard boolean, weak boolean, mismatch boolean, skel long, body long")
+    own = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("source_path").cast("string"))
+    return own.mapInPandas(run, f"doc_id {kind}, host string, slug long, slot int, message boolean, mismatch boolean, skel long, body long")
 
 
 def residue(docs: DataFrame, copies: int = 3) -> DataFrame:
-    """(doc_id, reason): documents to exclude, once each.
+    """(doc_id, reason): documents to exclude, once each, by the first reason that holds.
 
-    ``residue``: the document shows by itself that it holds a placeholder, filler or a server's message. ``duplicate``: a
-    response of low information that names no term of its own address, and of which at least ``copies`` unlike texts
-    from at least two hosts, or that many of one host, share the wording. Code, quoted messages and sentences about
-    messages are no evidence. Null, empty and blank texts give no row. Only short responses are counted against each
-    other, pre-aggregated by wording, so one host or wording may hold any share of the rows.
+    ``placeholder`` and ``filler``: such a thing stands in the text. ``duplicate``: a response that names no term of its
+    own address, and of whose wording, apart from hosts, paths, numbers and references, there are ``copies`` unlike texts
+    at ``copies`` unlike addresses, from at least two hosts or all from the one host there is. ``mismatch``: a message by
+    its own sentences that names no term of its address. ``message``: one that names some.
+    Code, quoted messages and sentences about messages are no evidence. Null, empty and blank texts give no row. Texts are
+    read once; only what they show is kept, and counted by wording before it is joined, so one host or wording may hold any share of the rows.
     """
-    f = features(docs)
-    low = f.filter("weak AND mismatch AND NOT hard")
-    same = (
-        low.groupBy("skel", "body", "host")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("skel")
-        .agg(F.count_distinct("body").alias("texts"))
-        .filter(F.col("texts") >= copies)
-    )
-    dup = low.join(same, "skel", "left_semi").select("doc_id", F.lit("duplicate").alias("reason"))
-    return f.filter("hard").select("doc_id", F.lit("residue").alias("reason")).unionByName(dup).groupBy("doc_id").agg(F.max("reason").alias("reason"))
+    f = cut(features(docs))
+    low = f.filter("slot = 0 AND mismatch").select("skel", "body", "host", "slug").distinct()
+    same = low.groupBy("skel").agg(F.count_distinct("body").alias("texts"), F.count_distinct("slug").alias("slugs"), F.count_distinct("host").alias("hosts"))
+    hosts = f.agg(F.count_distinct("host").alias("every"))
+    same = same.crossJoin(F.broadcast(hosts)).filter((F.col("texts") >= copies) & (F.col("slugs") >= copies) & ((F.col("hosts") >= 2) | (F.col("every") < 2))).select("skel", F.lit(True).alias("again"))
+    j = salted_join(f, same, "skel", "left")
+    reason = (
+        F.when(F.col("slot") == 1, "placeholder").when(F.col("slot") == 2, "filler")
+        .when(F.col("again") & F.col("mismatch"), "duplicate").when(F.col("message") & F.col("mismatch"), "mismatch").when(F.col("message"), "message")
+    )
+    return j.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("doc_id").agg(F.min("reason").alias("reason"))

@@ -160,10 +160,33 @@ def test_residue(spark):
     assert residue.residue(docs(spark, [])).count() == 0
 
 
+def reasons(spark, rows):
+    return {r.doc_id: r.reason for r in residue.residue(docs(spark, rows)).collect()}
+
+
 def test_repeated_responses_give_each_other_away(spark):
-    odd = [(i, f"Server h{i}.example.test is asleep, request {i}{i}{i}", f"host{i}", f"p/alpha-{i}.md") for i in range(3)]
-    got = {r.doc_id: r.reason for r in residue.residue(docs(spark, [*odd, (9, "The server room has a door.", "h", "p/q.md")])).collect()}
-    assert got == {0: "duplicate", 1: "duplicate", 2: "duplicate"}
+    odd = [(i, f"Server h{i}.example.test is asleep, request {i}{i}{i}", f"host{i % 2}", f"p/alpha-{'abc'[i] * 3}.md") for i in range(3)]
+    assert reasons(spark, [*odd, (9, "The server room has a door.", "h", "p/q.md")]) == {0: "duplicate", 1: "duplicate", 2: "duplicate"}
+    # copies of one text, and responses of one host among several, are no evidence
+    same = [(i, "Server is asleep, request", f"host{i}", f"p/alpha-{'abc'[i] * 3}.md") for i in range(3)]
+    one = [(10 + i, f"Server h{i}.example.test is asleep, request {i}{i}{i}", "h", f"p/alpha-{'abc'[i] * 3}.md") for i in range(3)]
+    assert reasons(spark, [*same, *one, (9, "Please enable JavaScript.", "other", "p/q.md")]) == {9: "mismatch"}
+
+
+def test_length_and_markup_do_not_hide_a_message(spark):
+    css = "<style>" + ".a { color: red }\n" * 200 + "</style>"
+    trace = "Traceback (most recent call last):\n" + '  File "/srv/a.py", line 3, in f\n    g(x)\n' * 80 + "KeyError: 'x'\n"
+    told = "The release note says that access was denied when the token had expired, and that a retry clears it for most of the users. " * 3
+    rows = [
+        (1, f"<html><head>{css}<title>404 Not Found</title></head><body><h1>Not Found</h1></body></html>", "h", "p/slug.md"),
+        (2, trace, "h", "p/slug.md"),
+        (3, told, "h", "p/slug.md"),
+        (4, "The viewer cannot start because scripting is off.", "h", "p/slug.md"),
+        (5, 'The notice "Please enable JavaScript" is now translated.', "h", "p/slug.md"),
+        (6, "Words about graphs. " * 400 + "Coming soon.", "h", "p/slug.md"),
+        (7, "The page /slug could not be found on this server.\n\nSlug", "h", "p/slug.md"),
+    ]
+    assert reasons(spark, rows) == {1: "mismatch", 2: "mismatch", 4: "mismatch", 6: "filler", 7: "message"}
 
 
 # ---- hand-written code
