@@ -116,6 +116,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_tasks")).select("doc_id", "task_id")
 
 
+@query("p9_leaks")
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with the words repeated and the answers held, texts in other words included."""
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_tasks"), answer_col="gold")
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(spread(table(spark, d, "documents"))).select("doc_id")

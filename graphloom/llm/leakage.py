@@ -6,9 +6,11 @@ import html
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +33,10 @@ SEEDS, REACH, DRIFT = 6, 33, 8
 STRETCH = 2000
 #: Words of a passage that must be repeated, words of the smaller part of an interrupted one, and of the interruption.
 LEAST, PART, INTERRUPTION = 20, 6, 160
+#: Share of a passage's words that a text in other words must keep in order, beside one of the task's answers.
+KEPT = 0.5
+#: Words of the passages that one pass over the corpus serves: their terms make up the block of the SVD on the driver.
+PASS_WORDS = 40_000
 
 
 def words(text: str) -> list[str]:
@@ -85,6 +91,39 @@ def repeated(a: np.ndarray, b: np.ndarray) -> int:
     return m + more if more >= PART else m
 
 
+def kept_in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """The most words of the passage ``a`` that a stretch of ``b`` of twice its length holds in order (longest common subsequence)."""
+    best, wide = 0, 2 * len(a)
+    for at in range(0, max(1, len(b) - len(a)), max(1, len(a))):
+        part = b[at : at + wide]
+        h = np.zeros(len(part) + 1, dtype=np.int32)
+        for w in a:
+            h[1:] = np.maximum(h[1:], h[:-1] + (part == w))
+            np.maximum.accumulate(h, out=h)
+        best = max(best, int(h[-1]))
+    return best
+
+
+class Sparse:
+    """Rows of weighted terms; multiplied as they are, without the zeros between."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        rows = [r for r in rows if len(r[0])]
+        self.n = len(rows)
+        self.term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
+        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+        self.row = np.repeat(np.arange(self.n), [len(t) for t, _ in rows]) if rows else np.zeros(0, np.int64)
+
+    def times(self, block: np.ndarray) -> np.ndarray:
+        """rows x block, one column at a time."""
+        return np.stack([np.bincount(self.row, self.value * c[self.term], minlength=self.n) for c in block.T], 1) if self.n else np.zeros((0, block.shape[1]))
+
+    def back(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, transposed rows x block) for the terms that occur."""
+        terms, at = np.unique(self.term, return_inverse=True)
+        return terms, np.stack([np.bincount(at, self.value * c[self.row], minlength=len(terms)) for c in block.T], 1) if self.n else np.zeros((0, block.shape[1]))
+
+
 class Terms:
     """The terms of the passages: pairs of adjacent words. Maps a text to its words' numbers and its terms' numbers."""
 
@@ -111,7 +150,8 @@ class Terms:
 class Probe:
     """What every task needs to search documents: the terms, their weights, the latent basis and the passages."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, telling: np.ndarray, rare: float, basis: np.ndarray, of: np.ndarray, latent: np.ndarray, passages: list[tuple[int, np.ndarray]]):
+    def __init__(self, terms: Terms, idf: np.ndarray, telling: np.ndarray, rare: float, basis: np.ndarray, of: np.ndarray, latent: np.ndarray, passages: list[tuple[int, np.ndarray]], answers: dict[str, list[int]]):
+        self.answers, self._auto = answers, None
         self.terms, self.idf, self.rare, self.passages, self.of, self.latent = terms, idf, rare, passages, of, latent
         self.rows = (basis * idf[:, None]).astype(np.float32)
         self.telling = telling
@@ -188,20 +228,35 @@ class Probe:
                 spans.append((x, x + WINDOW))
         return out
 
-    def search(self, text: str) -> list[tuple[int, int]]:
-        """(task, words repeated) of the passages that leaked into one text."""
+    def answered(self, w: list[str]) -> dict[int, int]:
+        """Passage number to how many of its task's answers a text holds."""
+        if self._auto is None:
+            self._auto = ahocorasick.Automaton()
+            for a, of in self.answers.items():
+                self._auto.add_word(f" {a} ", (a, of))
+            self._auto.make_automaton()
+        seen = {a: of for _, (a, of) in self._auto.iter(f" {' '.join(w)} ")} if self.answers else {}
+        return Counter(i for of in seen.values() for i in of)
+
+    def search(self, text: str) -> list[tuple[int, int, int, str]]:
+        """(task, words repeated, answers held, how) of the passages that leaked into one text."""
         w = words(text)
         if len(w) < LEAST:
             return []
         at = self.terms.numbers(w)
-        found = []
+        held = self.answered(w)
+        found = {}
         for p, spans in self.candidates(at).items():
-            task, passage = self.passages[p]
+            passage = self.passages[p][1]
             wide = len(passage) + INTERRUPTION
             m = max(repeated(passage, at[max(0, lo - wide) : hi + wide]) for lo, hi in spans)
             if m >= LEAST:
-                found.append((task, m))
-        return found
+                found[p] = m, "passage"
+        for p in held.keys() - found.keys():
+            passage = self.passages[p][1]
+            if (m := kept_in_order(passage, at)) >= KEPT * len(passage):
+                found[p] = m, "paraphrase"
+        return [(self.passages[p][0], m, held.get(p, 0), how) for p, (m, how) in found.items()]
 
 
 def document_frequencies(docs: DataFrame, terms: Terms, text_col: str) -> tuple[np.ndarray, int]:
@@ -227,12 +282,12 @@ def document_frequencies(docs: DataFrame, terms: Terms, text_col: str) -> tuple[
     return df, next((n for w, n in rows if w == -1), 0)
 
 
-def randomised_svd(tasks: DataFrame, vectors, width: int, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
-    """The ``rank`` leading right singular vectors (width x rank) of the matrix whose rows ``vectors`` makes of ``tasks``.
+def randomised_svd(tasks: DataFrame, vectors: Callable, width: int, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """The ``rank`` leading right singular vectors (width x rank) of the matrix whose sparse rows ``vectors`` makes of ``tasks``.
 
     Randomised subspace iteration: each round multiplies the rows' Gram matrix with an orthonormal block. Tasks multiply
-    their own rows and sum; what reaches the driver is one block of width x (rank + 10) a partition, whose size depends
-    on the vocabulary of the passages, never on the corpus.
+    their own rows and give a row a term that occurs in them; these are summed by term before the driver reads one block of
+    width x (rank + 10), whose size depends on PASS_WORDS and never on the corpus.
     """
     k = min(rank + 10, width)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, k)))[0]
@@ -240,69 +295,96 @@ def randomised_svd(tasks: DataFrame, vectors, width: int, rank: int, rounds: int
         now = block
 
         def run(frames: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, k))
             for f in frames:
                 a = vectors(f.iloc[:, 1])
-                total += a.T @ (a @ now)
-            yield pd.DataFrame({"b": [total.astype(np.float64).tobytes()]})
-
-        parts = tasks.mapInPandas(run, "b binary").collect()
-        block = np.linalg.qr(sum(np.frombuffer(p.b).reshape(width, k) for p in parts))[0]
+                term, rows = a.back(a.times(now))
+                yield pd.DataFrame({"term": term, "part": [r.tobytes() for r in rows]})
+
+        def add(g: pd.DataFrame) -> pd.DataFrame:
+            term, at = np.unique(g["term"].to_numpy(), return_inverse=True)
+            total = np.zeros((len(term), k))
+            np.add.at(total, at, np.frombuffer(b"".join(g["part"])).reshape(len(g), k))
+            return pd.DataFrame({"term": term, "part": [r.tobytes() for r in total]})
+
+        parts = tasks.mapInPandas(run, "term int, part binary").groupBy(F.pmod("term", F.lit(16))).applyInPandas(add, "term int, part binary").toLocalIterator()
+        block = np.zeros((width, k))
+        for term, part in parts:
+            block[term] = np.frombuffer(part)
+        block = np.linalg.qr(block)[0]
     return block[:, : min(rank, k)]
 
 
-def leaks(docs: DataFrame, tasks: DataFrame, doc_col: str = "doc_id", text_col: str = "text", task_col: str = "task_id", passage_col: str = "passage", most_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, task_id, n_words): documents that repeat at least LEAST words of a task's passage, once each.
+def leaks(docs: DataFrame, tasks: DataFrame, doc_col: str = "doc_id", text_col: str = "text", task_col: str = "task_id", passage_col: str = "passage", answer_col: str | None = None, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(doc_id, task_id, n_words, n_answers, how): documents into which a task's passage leaked, once each.
 
-    Passages are a held-out set of bounded size (``most_words`` in all, else refused) and are broadcast. Their terms,
-    pairs of adjacent words, are weighted by their frequency over all documents; the windows of all passages span a latent space by a randomised SVD;
-    every window of every document is placed in it, and those close to a passage's window by cosine, or holding SEEDS
-    terms of a part of it that is short of telling ones, are aligned with the passage word by word. An interruption is at most INTERRUPTION
-    words long, and the smaller part at least PART. A null or short text repeats nothing; a passage under LEAST words cannot leak; a null passage
-    is none. Repeated tasks give one row; extra columns are left out.
+    ``how`` is ``passage`` where at least LEAST of its words are repeated in order and nearly without gaps, and
+    ``paraphrase`` where KEPT of them stand in order, however far apart, in a text that also holds one of the task's
+    answers (``answer_col``, an array; answers of less than two words are none). The passages are a held-out set and
+    are broadcast; each ``pass_words`` of them take a pass over the corpus, so there may be any number. Their terms,
+    pairs of adjacent words, are weighted by their frequency over all documents; the windows of the passages span a
+    latent space by a randomised SVD; every window of every document is placed in it, and those close to a passage's
+    window by cosine, or holding SEEDS terms of a part of it that is short of telling ones, are aligned with the passage
+    word by word. An interruption is at most INTERRUPTION words long, and the smaller part at least PART. A null or short
+    text repeats nothing; a passage under LEAST words cannot leak; a null passage is none. Repeated tasks give one row;
+    extra columns are left out.
     """
-    clean = tasks.select(F.col(task_col).cast("long").alias("t"), F.col(passage_col).alias("p")).filter("t IS NOT NULL AND p IS NOT NULL").distinct()
-    rows, size = [], 0
-    for t, p in clean.toLocalIterator():
+    answers = F.col(answer_col) if answer_col else F.lit(None)
+    clean = tasks.select(F.col(task_col).cast("long").alias("t"), F.col(passage_col).alias("p"), answers.cast("array<string>").alias("a")).filter("t IS NOT NULL AND p IS NOT NULL").distinct()
+    kind = docs.schema[doc_col].dataType.simpleString()
+    out = f"`{doc_col}` {kind}, `{task_col}` long, n_words int, n_answers int, how string"
+    blocks: list[list] = [[]]
+    size = 0
+    for t, p, a in sorted((t, p, a or []) for t, p, a in clean.toLocalIterator()):
         w = words(p)
-        size += len(w)
-        if size > most_words:
-            raise ValueError("the passages are too large to be broadcast")
         if len(w) >= LEAST:
-            rows.append((t, w))
-    kind = docs.schema[doc_col].dataType.simpleString()
-    out = f"`{doc_col}` {kind}, `{task_col}` long, n_words int"
-    if not rows:
+            if size and size + len(w) > pass_words:
+                blocks.append([])
+                size = 0
+            size += len(w)
+            blocks[-1].append((t, w, a))
+    if not blocks[0]:
         return docs.sparkSession.createDataFrame([], out)
-    rows.sort()
-    terms = Terms([w for _, w in rows])
+    found = None
+    for rows in blocks:
+        some = _leaks_of(docs, rows, doc_col, text_col, task_col, out)
+        found = some if found is None else found.unionByName(some)
+    best = F.max(F.struct((F.col("how") == "passage").alias("whole"), "n_words", "n_answers", "how")).alias("b")
+    return found.groupBy(doc_col, task_col).agg(best).select(doc_col, task_col, "b.n_words", "b.n_answers", "b.how")
+
+
+def _leaks_of(docs: DataFrame, rows: list[tuple[int, list[str], list[str]]], doc_col: str, text_col: str, task_col: str, out: str) -> DataFrame:
+    """The leaks of one block of passages, by one count of its terms and one search over all documents."""
+    spark = docs.sparkSession
+    terms = Terms([w for _, w, _ in rows])
     df, n = document_frequencies(docs, terms, text_col)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     rare = math.log(n + 1) + 0.1
 
-    def vectors(passages) -> np.ndarray:
-        out = []
-        for w in map(words, passages):
-            for s in range(0, max(1, len(w) - SPAN + STEP), STEP) if len(w) > 1 else ():
-                v = np.bincount(terms.of(terms.numbers(w[s : s + SPAN]))[1], minlength=len(idf)) * idf
-                out.append(v / max(np.linalg.norm(v), 1e-9))
-        return np.array(out) if out else np.zeros((0, len(idf)))
-
-    few = clean.coalesce(max(1, min(8, len(rows) // 50)))
-    basis = randomised_svd(few, vectors, len(idf), RANK)
-    latent, of = [], []
-    for i, (_, w) in enumerate(rows):
-        own = vectors([" ".join(w)])
-        latent.append(own @ basis)
-        of += [i] * len(own)
-    passages = [(t, terms.numbers(w)) for t, w in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(Probe(terms, idf, (df <= FEW) | (df <= TELLING * n), rare, basis, np.array(of), np.vstack(latent).T.astype(np.float32), passages))
+    def windows(w: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for s in range(0, max(1, len(w) - SPAN + STEP), STEP) if len(w) > 1 else ():
+            term, times = np.unique(terms.of(terms.numbers(w[s : s + SPAN]))[1], return_counts=True)
+            v = times * idf[term]
+            found.append((term, v / max(np.linalg.norm(v), 1e-9)))
+        return found
+
+    few = spark.createDataFrame([(t, " ".join(w)) for t, w, _ in rows], "t long, p string").repartition(max(1, min(64, len(rows) // 50)))
+    basis = randomised_svd(few, lambda texts: Sparse([x for p in texts for x in windows(p.split(" "))]), len(idf), RANK)
+    own = [windows(w) for _, w, _ in rows]
+    latent = Sparse([x for o in own for x in o]).times(basis)
+    of = np.repeat(np.arange(len(rows)), [sum(1 for x in o if len(x[0])) for o in own])
+    passages = [(t, terms.numbers(w)) for t, w, _ in rows]
+    answers: dict[str, list[int]] = {}
+    for i, (_, _, a) in enumerate(rows):
+        for x in {" ".join(words(x)) for x in a if x}:
+            if " " in x:
+                answers.setdefault(x, []).append(i)
+    shared = spark.sparkContext.broadcast(Probe(terms, idf, (df <= FEW) | (df <= TELLING * n), rare, basis, of, latent.T.astype(np.float32), passages, answers))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         probe = shared.value
         for f in frames:
-            hits = [(d, t, m) for d, x in zip(f.iloc[:, 0], f.iloc[:, 1]) if x for t, m in probe.search(x)]
-            yield pd.DataFrame(hits, columns=[doc_col, task_col, "n_words"])
+            hits = [(d, *hit) for d, x in zip(f.iloc[:, 0], f.iloc[:, 1]) if x for hit in probe.search(x)]
+            yield pd.DataFrame(hits, columns=[doc_col, task_col, "n_words", "n_answers", "how"])
 
-    found = docs.select(doc_col, text_col).mapInPandas(run, out)
-    return found.groupBy(doc_col, task_col).agg(F.max("n_words").alias("n_words"))
+    return docs.select(doc_col, text_col).mapInPandas(run, out)

@@ -180,6 +180,33 @@ def test_a_passage_in_a_third_of_the_documents_leaks(spark):
     assert {(r.doc_id, r.task_id) for r in leakage.leaks(d, t).collect()} == {(i, 1) for i in range(140)} | {(500, 2)}
 
 
+def test_texts_in_other_words_leak_with_an_answer(spark):
+    rng = random.Random(8)
+    p = [passage(rng) for _ in range(3)]
+    fill = lambda n: [f"f{rng.randrange(900)}" for _ in range(n)]
+    other = [x for k, w in enumerate(p[0]) for x in ([w] if k % 3 else fill(2))]
+    d = spark.createDataFrame([(1, " ".join(fill(60) + other + ["see", "src/deep/place.py"])), (2, " ".join(fill(60) + other)), (3, " ".join(fill(30) + p[1] + fill(9))), (4, "src/deep/place.py " + " ".join(fill(90)))], "doc_id long, text string")
+    t = spark.createDataFrame([(k, " ".join(w), ["src/deep/place.py", "x", None]) for k, w in enumerate(p)], "task_id long, passage string, gold array<string>")
+    got = {(r.doc_id, r.task_id): (r.how, r.n_answers) for r in leakage.leaks(d, t, answer_col="gold").collect()}
+    assert got == {(1, 0): ("paraphrase", 1), (3, 1): ("passage", 0)}
+    # one pass a passage gives the same
+    again = {(r.doc_id, r.task_id): (r.how, r.n_answers) for r in leakage.leaks(d, t, answer_col="gold", pass_words=50).collect()}
+    assert again == got
+
+
+def test_sparse_products_equal_dense_ones():
+    rng = np.random.default_rng(0)
+    dense = (rng.random((7, 11)) < 0.3) * rng.random((7, 11))
+    a = leakage.Sparse([(np.flatnonzero(r), r[r != 0]) for r in dense])
+    dense = dense[dense.any(1)]
+    block = rng.random((11, 3))
+    assert np.allclose(a.times(block), dense @ block)
+    terms, back = a.back(dense @ block)
+    full = np.zeros((11, 3))
+    full[terms] = back
+    assert np.allclose(full, dense.T @ dense @ block)
+
+
 def test_alignment_is_nearly_without_gaps():
     a = np.arange(30)
     assert leakage.align(a, a)[0] == 30
