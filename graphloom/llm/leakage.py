@@ -29,6 +29,8 @@ TELLING, FEW = 0.05, 50
 #: Terms of one passage, in its order but for DRIFT words and within REACH words, that have a place looked at word by word
 #: whatever the terms weigh. 20 words found at the price of 13 lost, the most that an alignment bears, leave 6 terms.
 SEEDS, REACH, DRIFT = 6, 33, 8
+#: Terms of a passage without which no alignment of LEAST words comes about, be it interrupted.
+SHARED = 5
 #: Words that are aligned at once, besides what lies around them.
 STRETCH = 2000
 #: Words of a passage that must be repeated, words of the smaller part of an interrupted one, and of the interruption.
@@ -58,12 +60,23 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
     """
     if not len(a) or not len(b):
         return 0, 0, 0, 0, 0
-    j = np.arange(1, len(b) + 1) * 1.5
+    j = np.arange(1, len(b) + 1, dtype=np.float32) * np.float32(1.5)
     h = np.zeros((len(a) + 1, len(b) + 1), dtype=np.float32)
-    for i, w in enumerate(a):
-        t = np.maximum(h[i, :-1] + np.where(b == w, 1.0, -1.5), h[i, 1:] - 1.5)
+    same = a[:, None] == b[None, :]
+    step = same * np.float32(2.5) - np.float32(1.5)
+    some = same.any(1)
+    t, u, live = np.empty(len(b), np.float32), np.empty(len(b), np.float32), False
+    for i in range(len(a)):
+        if not live and not some[i]:
+            continue  # nothing is open and nothing begins
+        np.add(h[i, :-1], step[i], out=t)
+        np.subtract(h[i, 1:], np.float32(1.5), out=u)
+        np.maximum(t, u, out=t)
         np.maximum(t, 0, out=t)
-        h[i + 1, 1:] = np.maximum.accumulate(t + j) - j
+        np.add(t, j, out=t)
+        np.maximum.accumulate(t, out=t)
+        np.subtract(t, j, out=h[i + 1, 1:])
+        live = h[i + 1].max() > 0
     np.maximum(h, 0, out=h)
     i, k = np.unravel_index(int(np.argmax(h)), h.shape)
     a1, b1, matched = int(i), int(k), 0
@@ -155,6 +168,7 @@ class Probe:
         self.terms, self.idf, self.rare, self.passages, self.of, self.latent = terms, idf, rare, passages, of, latent
         self.rows = (basis * idf[:, None]).astype(np.float32)
         self.telling = telling
+        self.own = [np.bincount(terms.of(p)[1], minlength=len(idf)) > 0 for _, p in passages]
         # the passages and places that hold each term, one term's after the other's, where LEAST words are short of telling terms
         rows = []
         for i, (_, p) in enumerate(passages):
@@ -185,7 +199,9 @@ class Probe:
         maybe = np.flatnonzero((b - a >= 3) & (np.sqrt(most[b] - most[a]) >= COSINE * norm))
         if not len(maybe):
             return maybe, maybe
-        sums = np.vstack([self.rows[term[a[w] : b[w]]].sum(0) for w in maybe])
+        upto = np.zeros((len(term) + 1, self.rows.shape[1]))
+        np.cumsum(self.rows[term], axis=0, out=upto[1:])
+        sums = (upto[b[maybe]] - upto[a[maybe]]).astype(np.float32)
         w, q = np.nonzero(sums @ self.latent / norm[maybe, None] >= COSINE)
         return self.of[q], start[maybe[w]]
 
@@ -212,9 +228,8 @@ class Probe:
             out.append((key[near] >> 40, w[near]))
         return tuple(map(np.concatenate, zip(*out)))
 
-    def candidates(self, at: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    def candidates(self, at: np.ndarray, place: np.ndarray, term: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Passage number to the spans of words in which windows come close to it or hold its terms."""
-        place, term = self.terms.of(at)
         if len(place) < 3:
             return {}
         p, s = map(np.concatenate, zip(self.close(at, place, term), self.seeded(place, term)))
@@ -246,12 +261,17 @@ class Probe:
         at = self.terms.numbers(w)
         held = self.answered(w)
         found = {}
-        for p, spans in self.candidates(at).items():
+        place, term = self.terms.of(at)
+        for p, spans in self.candidates(at, place, term).items():
             passage = self.passages[p][1]
             wide = len(passage) + INTERRUPTION
-            m = max(repeated(passage, at[max(0, lo - wide) : hi + wide]) for lo, hi in spans)
-            if m >= LEAST:
-                found[p] = m, "passage"
+            mine = np.append(0, np.cumsum(self.own[p][term]))
+            for lo, hi in spans:
+                lo, hi = max(0, lo - wide), hi + wide
+                a, b = np.searchsorted(place, (lo, hi))
+                if mine[b] - mine[a] >= SHARED and (m := repeated(passage, at[lo:hi])) >= LEAST:
+                    found[p] = max(found.get(p, (0,)), (m,))
+        found = {p: (m, "passage") for p, (m,) in found.items()}
         for p in held.keys() - found.keys():
             passage = self.passages[p][1]
             if (m := kept_in_order(passage, at)) >= KEPT * len(passage):
