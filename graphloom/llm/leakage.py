@@ -29,8 +29,9 @@ TELLING, FEW = 0.05, 50
 #: Terms of one passage, in its order but for DRIFT words and within REACH words, that have a place looked at word by word
 #: whatever the terms weigh. 20 words found at the price of 13 lost, the most that an alignment bears, leave 6 terms.
 SEEDS, REACH, DRIFT = 6, 33, 8
-#: Terms of a passage without which no alignment of LEAST words comes about, be it interrupted.
-SHARED = 5
+#: Terms of a passage without which no alignment of LEAST words comes about, be it interrupted; and of LEAST repeated words
+#: those that stand beside a neighbour of theirs, so that a phrase that many documents share is not taken for a beginning.
+SHARED, BESIDE = 5, 16
 #: Words that are aligned at once, besides what lies around them.
 STRETCH = 2000
 #: Words of a passage that must be repeated, words of the smaller part of an interrupted one, and of the interruption.
@@ -117,6 +118,35 @@ def kept_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def beside(place: np.ndarray, stand: np.ndarray) -> int:
+    """Words of a passage that a text keeps beside their neighbours, in one part or two.
+
+    ``place`` and ``stand``: where terms of the passage stand in the text and in the passage. A part is the terms whose
+    shift differs by DRIFT at most; a second one goes on within DRIFT words of the passage and INTERRUPTION of the text.
+    """
+    shift = place - stand
+    order = np.argsort(shift, kind="stable")
+    s = shift[order]
+    upto = np.searchsorted(s, s + DRIFT, "right")
+    k = int(np.argmax(upto - np.arange(len(s))))
+    band = order[k : upto[k]]
+
+    def words_of(at: np.ndarray) -> int:
+        return len(np.union1d(stand[at], stand[at] + 1))
+
+    first, s0, s1, p0, p1 = words_of(band), stand[band].min(), stand[band].max(), place[band].min(), place[band].max()
+    more = 0
+    for side in ((stand > s1) & (stand <= s1 + LEAST) & (place > p1) & (place <= p1 + INTERRUPTION + LEAST), (stand < s0) & (stand >= s0 - LEAST) & (place < p0) & (place >= p0 - INTERRUPTION - LEAST)):
+        rest = np.flatnonzero(side)
+        if len(rest):
+            t = np.sort(shift[rest])
+            if abs(stand[rest] - (s1 if stand[rest[0]] > s1 else s0)).min() <= DRIFT:
+                u = np.searchsorted(t, t + DRIFT, "right")
+                i = int(np.argmax(u - np.arange(len(t))))
+                more = max(more, words_of(rest[(shift[rest] >= t[i]) & (shift[rest] <= t[i] + DRIFT)]))
+    return first + more
+
+
 class Sparse:
     """Rows of weighted terms; multiplied as they are, without the zeros between."""
 
@@ -168,7 +198,11 @@ class Probe:
         self.terms, self.idf, self.rare, self.passages, self.of, self.latent = terms, idf, rare, passages, of, latent
         self.rows = (basis * idf[:, None]).astype(np.float32)
         self.telling = telling
-        self.own = [np.bincount(terms.of(p)[1], minlength=len(idf)) > 0 for _, p in passages]
+        self.own = []
+        for _, p in passages:
+            at, own = terms.of(p)
+            order = np.argsort(own, kind="stable")
+            self.own.append((own[order], at[order]))
         # the passages and places that hold each term, one term's after the other's, where LEAST words are short of telling terms
         rows = []
         for i, (_, p) in enumerate(passages):
@@ -199,9 +233,14 @@ class Probe:
         maybe = np.flatnonzero((b - a >= 3) & (np.sqrt(most[b] - most[a]) >= COSINE * norm))
         if not len(maybe):
             return maybe, maybe
-        upto = np.zeros((len(term) + 1, self.rows.shape[1]))
+        upto = np.zeros((len(term) + 1, self.rows.shape[1]), np.float32)
         np.cumsum(self.rows[term], axis=0, out=upto[1:])
-        sums = (upto[b[maybe]] - upto[a[maybe]]).astype(np.float32)
+        sums = upto[b[maybe]] - upto[a[maybe]]
+        # nor has a window a greater cosine than its length in the space, as passages have unit length
+        far = np.sqrt(np.einsum("ij,ij->i", sums, sums)) >= COSINE * norm[maybe]
+        maybe, sums = maybe[far], sums[far]
+        if not len(maybe):
+            return maybe, maybe
         w, q = np.nonzero(sums @ self.latent / norm[maybe, None] >= COSINE)
         return self.of[q], start[maybe[w]]
 
@@ -228,11 +267,12 @@ class Probe:
             out.append((key[near] >> 40, w[near]))
         return tuple(map(np.concatenate, zip(*out)))
 
-    def candidates(self, at: np.ndarray, place: np.ndarray, term: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Passage number to the spans of words in which windows come close to it or hold its terms."""
+    def candidates(self, at: np.ndarray, place: np.ndarray, term: np.ndarray) -> tuple[set[int], dict[int, list[tuple[int, int]]]]:
+        """(passages that windows come close to, passage number to the spans of words in which they do or hold its terms)."""
         if len(place) < 3:
-            return {}
-        p, s = map(np.concatenate, zip(self.close(at, place, term), self.seeded(place, term)))
+            return set(), {}
+        near = self.close(at, place, term)
+        p, s = map(np.concatenate, zip(near, self.seeded(place, term)))
         order = np.lexsort((s, p))
         out: dict[int, list[tuple[int, int]]] = {}
         for i, x in zip(p[order].tolist(), s[order].tolist()):
@@ -241,7 +281,7 @@ class Probe:
                 spans[-1] = spans[-1][0], x + WINDOW
             else:
                 spans.append((x, x + WINDOW))
-        return out
+        return set(near[0].tolist()), out
 
     def answered(self, w: list[str]) -> dict[int, int]:
         """Passage number to how many of its task's answers a text holds."""
@@ -262,14 +302,23 @@ class Probe:
         held = self.answered(w)
         found = {}
         place, term = self.terms.of(at)
-        for p, spans in self.candidates(at, place, term).items():
+        near, cands = self.candidates(at, place, term)
+        for p, spans in cands.items():
             passage = self.passages[p][1]
             wide = len(passage) + INTERRUPTION
-            mine = np.append(0, np.cumsum(self.own[p][term]))
+            terms, stands = self.own[p]
+            left, right = np.searchsorted(terms, term, "left"), np.searchsorted(terms, term, "right")
             for lo, hi in spans:
                 lo, hi = max(0, lo - wide), hi + wide
                 a, b = np.searchsorted(place, (lo, hi))
-                if mine[b] - mine[a] >= SHARED and (m := repeated(passage, at[lo:hi])) >= LEAST:
+                per = (right - left)[a:b]
+                if np.count_nonzero(per) < SHARED:
+                    continue
+                if p not in near:
+                    i = np.repeat(left[a:b] - np.cumsum(per) + per, per) + np.arange(per.sum())
+                    if beside(np.repeat(place[a:b], per), stands[i]) < BESIDE:
+                        continue
+                if (m := repeated(passage, at[lo:hi])) >= LEAST:
                     found[p] = max(found.get(p, (0,)), (m,))
         found = {p: (m, "passage") for p, (m,) in found.items()}
         for p in held.keys() - found.keys():
