@@ -52,6 +52,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
+@query(
+    "p2_invariants",
+    r"""SELECT c.id, max(length(c.chunk_text)) AS n_chars, TRUE AS within, TRUE AS covering, TRUE AS overlapping FROM chunks c JOIN chunk_limits l ON lower(regexp_replace(c.kind, '\s+', '', 'g')) = lower(regexp_replace(l.kind, '\s+', '', 'g'))
+    WHERE length(c.chunk_text) > l.max_chars GROUP BY 1""",
+)
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of every oversized chunk."""
+    return split.piece_report(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     m = matching.matches(table(spark, d, "extracted_code"), table(spark, d, "extracted_doc"))

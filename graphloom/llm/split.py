@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Suffixes of files whose pieces should keep declarations together.
@@ -63,21 +63,72 @@ def next_cut(at: np.ndarray, rank: np.ndarray, start: int, limit: int, overlap:
     return int(at[a + len(r) - 1 - int(np.argmax(r[::-1]))])
 
 
-def cuts(text: str, code: bool, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of one text, in code points; one piece if it is within the limit."""
+class Stitcher:
+    """Turns boundary tables, fed range by range in order, into pieces; holds no more than the boundaries of one piece.
+
+    Offsets need no sums over all ranges, as each table gives them from the beginning of the text.
+    """
+
+    def __init__(self, n: int, limit: int, overlap: int):
+        self.n, self.limit, self.overlap = n, limit, max(0, min(overlap, limit - 1))
+        self.start, self.at, self.rank = 0, np.zeros(0, np.int64), np.zeros(0, np.int8)
+
+    def feed(self, at: Sequence[int], rank: Sequence[int], known: int) -> list[tuple[int, int]]:
+        """The pieces that are certain once all boundaries up to ``known`` are."""
+        a, k = np.append(self.at, np.asarray(at, np.int64)), np.append(self.rank, np.asarray(rank, np.int8))
+        out = []
+        while self.n - self.start > self.limit and known >= self.start + self.limit:
+            end = next_cut(a, k, self.start, self.limit, self.overlap)
+            out.append((self.start, end))
+            self.start = end - self.overlap
+        i = int(np.searchsorted(a, self.start))
+        self.at, self.rank = a[i:], k[i:]
+        return out
+
+    def close(self) -> list[tuple[int, int]]:
+        return [*self.feed((), (), self.n), (self.start, self.n)]
+
+
+def open_context(before: str, after: str) -> tuple[int, int]:
+    """How much of what lies before and after a range its boundaries depend on.
+
+    That is the run of blanks that a border cuts, the closing marks and the letter before it, and the letter behind it.
+    """
+    k = len(before.rstrip())
+    while k and before[k - 1] in _CLOSERS:
+        k -= 1
+    return len(before) - max(0, k - 1), min(len(after), len(after) - len(after.lstrip()) + 1)
+
+
+def range_tables(text: str, code: bool, size: int, halo: int = 256) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(end, boundaries, ranks) of the ranges of a text, each found from the range and its halo alone.
+
+    Halos grow until they hold the whole run of blanks that a border cuts, so ranges of any size give the same.
+    """
     n = len(text)
-    if n <= limit:
-        return [(0, n)]
-    at, rank = boundaries(text, code)
-    at, rank = np.array(at, np.int64), np.array(rank, np.int8)
-    overlap = max(0, min(overlap, limit - 1))
-    out, start = [], 0
-    while n - start > limit:
-        end = next_cut(at, rank, start, limit, overlap)
-        out.append((start, end))
-        start = end - overlap
-    out.append((start, n))
-    return out
+    size = max(size, n // 1024)
+    for lo in range(0, n, size):
+        hi = min(lo + size, n)
+        left = right = halo
+        while True:
+            back, ahead = open_context(text[max(0, lo - left) : lo], text[hi : hi + right])
+            if back >= left < lo:
+                left *= 8
+            elif ahead >= right < n - hi:
+                right *= 8
+            else:
+                break
+        base = max(0, lo - left)
+        at, rank = boundaries(text[base : hi + right], code, base, lo - base, hi - base)
+        yield hi, at, rank
+
+
+def cuts(text: str, code: bool, limit: int, overlap: int, size: int = 8192) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of one text, in code points; one piece if it is within the limit."""
+    stitch = Stitcher(len(text), limit, overlap)
+    if len(text) <= limit:
+        return stitch.close()
+    return [x for end, at, rank in range_tables(text, code, size) for x in stitch.feed(at, rank, end)] + stitch.close()
 
 
 def is_code(path: Column) -> Column:
@@ -88,13 +139,6 @@ def kind_key(kind: Column) -> Column:
     return F.lower(F.regexp_replace(kind, r"\s+", ""))
 
 
-def _cuts(*columns: str) -> Column:
-    def run(text: pd.Series, code: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end_": b} for a, b in cuts(*x)] for x in zip(text, code, limit, overlap)])
-
-    return F.pandas_udf(run, "array<struct<start:int,end_:int>>")(*columns)
-
-
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows of ``chunks`` whose text is longer than the max_chars of their kind, with both limits, ``code`` and ``n``.
 
@@ -114,156 +158,118 @@ def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     return j.filter("__n > __max").withColumn("__code", is_code(F.col("source_path")))
 
 
-def with_cuts(chunks: DataFrame, limits: DataFrame, range_chars: int = 1 << 20) -> DataFrame:
-    """(id, text, at): the oversized rows and their pieces as array of (start, end_).
+def split_oversized(chunks: DataFrame, limits: DataFrame, range_chars: int = 8192) -> DataFrame:
+    """(id, piece_no, start, end_, piece_text) of every oversized text.
 
-    A text of up to ``range_chars`` is cut where it lies, without any shuffle; a longer one goes through
-    :func:`range_cuts`. Both give the same pieces.
+    Every text goes the same way: boundaries are found range by range, with halos, and stitched in order, without a
+    shuffle, as a text that is a value of a row lies in one task anyway. Pieces are numbered from 0; none is over the limit
+    of its kind; each repeats the last overlap_chars of the one before (fewer where the limit leaves no room); start and
+    end_ count code points of the text as stored. Repeated rows count once. Texts within their limit, null and empty
+    texts give no row. Extra columns are left out.
     """
     big = oversized(chunks, limits)
-    near = big.filter(F.col("__n") <= range_chars).select("id", F.col("chunk_text").alias("text"), _cuts("chunk_text", "__code", "__max", "__overlap").alias("at"))
-    far = big.filter(F.col("__n") > range_chars)
-    offs = range_cuts(far, range_chars)
-    far = far.select("id", F.col("chunk_text").alias("text"), F.xxhash64("chunk_text", "__max", "__overlap", "__code").alias("__h")).join(offs, ["id", "__h"]).select("id", "text", "at")
-    return near.unionByName(far)
+    key = big.schema["id"].dataType.simpleString()
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i, text, code, limit, overlap in f.itertuples(index=False):
+                p = cuts(text, code, limit, overlap, range_chars)
+                for at in range(0, len(p), 4096):
+                    part = p[at : at + 4096]
+                    yield pd.DataFrame({"id": i, "piece_no": range(at, at + len(part)), "start": [a for a, _ in part], "end_": [b for _, b in part], "piece_text": [text[a:b] for a, b in part]})
 
-def range_cuts(far: DataFrame, range_chars: int, halo: int = 256) -> DataFrame:
-    """(id, __h, at): pieces of giant texts from the boundary tables of their ranges.
+    cut = big.select("id", "chunk_text", "__code", "__max", "__overlap").mapInPandas(run, f"id {key}, piece_no int, start int, end_ int, piece_text string")
+    return cut.dropDuplicates(["id", "piece_no", "start", "end_", "piece_text"])
 
-    Each range is searched for boundaries by itself, with a halo of context on both sides. The tables of one text are
-    stitched in order of their offsets: partitions are sorted by text and range, and walked with the position of the
-    last cut as only state, so no task holds a text or its whole table.
-    """
-    ranges = far.select(
-        "id",
-        F.xxhash64("chunk_text", "__max", "__overlap", "__code").alias("__h"),
-        "__n",
-        "__code",
-        "__max",
-        "__overlap",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / range_chars).cast("int"))).alias("__r"),
-        "chunk_text",
-    )
-    base = F.greatest(F.lit(0), F.col("__r") * range_chars - halo)
-    ranges = ranges.withColumn("__base", base).withColumn("__part", F.substring("chunk_text", F.col("__base") + 1, F.lit(range_chars + 2 * halo))).drop("chunk_text")
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def oversized_ids(chunks: DataFrame, limits: DataFrame, range_chars: int = 8192) -> DataFrame:
+    """(id) of every text that :func:`split_oversized` cuts, once."""
+    big = oversized(chunks, limits)
+    key = big.schema["id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for x in f.itertuples(index=False):
-                lo = x[5] * range_chars - x[6]
-                rows.append(boundaries(x[7], x[2], x[6], lo, lo + range_chars))
-            yield f.iloc[:, [0, 1, 3, 4, 5]].assign(n=f.iloc[:, 8], at=[r[0] for r in rows], rank=[r[1] for r in rows]).set_axis(["id", "__h", "__max", "__overlap", "__r", "__n", "at", "rank"], axis=1)
+            yield pd.DataFrame({"id": [i for i, text, code, limit, overlap in f.itertuples(index=False) if len(cuts(text, code, limit, overlap, range_chars)) > 1]})
 
-    cols = ranges.select("id", "__h", "__code", "__max", "__overlap", "__r", "__base", "__part", "__n").dropDuplicates(["id", "__h", "__r"])
-    key = far.schema["id"].dataType.simpleString()
-    tables = cols.mapInPandas(find, f"id {key}, __h long, __max int, __overlap int, __r int, __n int, at array<int>, rank array<int>")
-    tables = tables.repartition("id", "__h").sortWithinPartitions("id", "__h", "__r")
+    return big.select("id", "chunk_text", "__code", "__max", "__overlap").mapInPandas(run, f"id {key}").distinct()
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, at, rank, out, n, limit, overlap = None, 0, [], [], [], 0, 1, 0
-
-        def step(known: int) -> None:
-            nonlocal start, at, rank
-            a, r = np.array(at, np.int64), np.array(rank, np.int8)
-            while n - start > limit and known >= start + limit:
-                end = next_cut(a, r, start, limit, overlap)
-                out.append({"start": start, "end_": end})
-                start = end - overlap
-            k = int(np.searchsorted(a, start))
-            at, rank = at[k:], rank[k:]
-
-        def close() -> dict:
-            step(n)
-            return {"id": key[0], "__h": key[1], "at": [*out, {"start": start, "end_": n}]}
 
-        for f in frames:
-            done = []
-            for i, h, mx, ov, r, length, a, k in f.itertuples(index=False):
-                if (i, h) != key:
-                    if key:
-                        done.append(close())
-                    key, start, at, rank, out, n, limit, overlap = (i, h), 0, [], [], [], length, mx, max(0, min(ov, mx - 1))
-                at += list(a)
-                rank += list(k)
-                step(min(n, (r + 1) * range_chars))
-            if done:
-                yield pd.DataFrame(done)
-        if key:
-            yield pd.DataFrame([close()])
-
-    return tables.mapInPandas(walk, f"id {key}, __h long, at array<struct<start:int,end_:int>>")
-
-
-def split_oversized(chunks: DataFrame, limits: DataFrame, range_chars: int = 1 << 20) -> DataFrame:
-    """(id, piece_no, start, end_, piece_text) of every oversized text.
+def piece_report(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(id, n_chars, within, covering, overlapping) of the pieces of each oversized text, for texts of one id alike.
 
-    Pieces are numbered from 0; none is over the limit of its kind; each repeats the last overlap_chars of the one
-    before (fewer where the limit leaves no room); start and end_ count code points of the text as stored. Repeated
-    rows count once. Texts within their limit, null and empty texts give no row. Extra columns are left out.
+    ``within``: none is over the limit. ``covering``: they begin at 0, end at n_chars and leave nothing out.
+    ``overlapping``: each repeats exactly what the limits ask for, and its text is that of its place.
     """
-    p = with_cuts(chunks, limits, range_chars).select("id", "text", F.posexplode("at").alias("piece_no", "c"))
-    cut = p.select("id", "piece_no", F.col("c.start").alias("start"), F.col("c.end_").alias("end_"), F.expr("substring(text, c.start + 1, c.end_ - c.start)").alias("piece_text"))
-    return cut.dropDuplicates(["id", "piece_no", "start", "end_", "piece_text"])
-
-
-def oversized_ids(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """(id) of every text that :func:`split_oversized` cuts, once."""
-    return with_cuts(chunks, limits).filter(F.size("at") > 1).select("id").distinct()
+    big = oversized(chunks, limits).select("id", "__max", "__overlap", "__n").groupBy("id").agg(F.max(F.struct("__n", "__max", "__overlap")).alias("o")).select("id", "o.*")
+    w = Window.partitionBy("id").orderBy("piece_no")
+    p = split_oversized(chunks, limits).select("id", "piece_no", "start", "end_", F.char_length("piece_text").alias("len"), F.lag("end_").over(w).alias("last")).join(big, "id")
+    back = F.least("__overlap", F.col("__max") - 1)
+    return p.groupBy("id").agg(
+        F.max("__n").cast("long").alias("n_chars"),
+        (F.max(F.col("end_") - F.col("start")) <= F.max("__max")).alias("within"),
+        ((F.min("start") == 0) & (F.max("end_") == F.max("__n")) & F.bool_and(F.coalesce(F.col("start") <= F.col("last"), F.lit(True)))).alias("covering"),
+        F.bool_and((F.col("len") == F.col("end_") - F.col("start")) & F.coalesce(F.col("last") - F.col("start") == back, F.lit(True))).alias("overlapping"),
+    )
 
 
 def split_files(spark: SparkSession, paths: Iterable[str], limit: int, overlap: int, range_bytes: int = 64 << 20, halo: int = 4096) -> DataFrame:
     """(path, start, end_): pieces of UTF-8 files in bytes, for files too large to load.
 
-    Workers read byte ranges with ``seek`` and never a whole file. Limits count bytes here; where a file has no boundary
-    within a limit, the cut may fall inside a code point. The boundary tables are stitched as in :func:`range_cuts`.
+    ``paths`` may be local or of any file system that Arrow opens by its address (hdfs://, s3://, file://). Workers read
+    byte ranges with their halos and never a whole file; a halo grows over the run of blanks that a border cuts. The
+    boundary tables of a file are stitched in order in one task, which holds the boundaries of one piece. Limits count
+    bytes here; where a file has no boundary within a limit, the cut may fall inside a code point.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    rows = [(p, n, r) for p, n in sizes for r in range(max(1, -(-n // range_bytes)))]
-    df = spark.createDataFrame(rows, "path string, n long, r long").repartition(max(1, min(len(rows), 10_000)), "path", "r")
+
+    def opened(path: str):
+        files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return files.open_input_file(name)
+
+    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path in f["path"]:
+                with opened(path) as fh:
+                    n = fh.size()
+                yield pd.DataFrame({"path": path, "n": n, "r": range(max(1, -(-n // range_bytes)))})
+
+    names = spark.createDataFrame([(x,) for x in paths], "path string").distinct()
+    ranges = names.mapInPandas(sized, "path string, n long, r long").repartition("path", "r")
+
+    def read(fh, a: int, b: int) -> str:
+        # Latin-1 keeps offsets equal to bytes; what it takes for blanks are parts of letters
+        return fh.read_at(max(0, b - a), a).decode("latin-1").translate({0x85: "x", 0xA0: "x"})
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, n, r in f.itertuples(index=False):
-                base = max(0, r * range_bytes - halo)
-                with open(path, "rb") as fh:
-                    fh.seek(base)
-                    part = fh.read(range_bytes + 2 * halo)
-                # Latin-1 keeps offsets equal to bytes; boundaries of other scripts are found by their blanks
-                lo = r * range_bytes - base
-                a, k = boundaries(part.decode("latin-1").replace("\x85", "x").replace("\xa0", "x"), path.rsplit(".", 1)[-1].lower() in CODE_SUFFIXES, base, lo, lo + range_bytes)
+                lo, hi = r * range_bytes, min(n, (r + 1) * range_bytes)
+                with opened(path) as fh:
+                    left = right = halo
+                    while True:
+                        back, ahead = open_context(read(fh, max(0, lo - left), lo), read(fh, hi, min(n, hi + right)))
+                        if back >= left < lo:
+                            left *= 8
+                        elif ahead >= right < n - hi:
+                            right *= 8
+                        else:
+                            break
+                    base = max(0, lo - left)
+                    a, k = boundaries(read(fh, base, min(n, hi + right)), path.rsplit(".", 1)[-1].lower() in CODE_SUFFIXES, base, lo - base, hi - base)
                 yield pd.DataFrame({"path": [path], "n": [n], "r": [r], "at": [a], "rank": [k]})
 
-    tables = df.mapInPandas(find, "path string, n long, r long, at array<long>, rank array<int>").repartition("path").sortWithinPartitions("path", "r")
+    tables = ranges.mapInPandas(find, "path string, n long, r long, at array<long>, rank array<int>").repartition("path").sortWithinPartitions("path", "r")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, n, start, at, rank = None, 0, 0, [], []
-        back = max(0, min(overlap, limit - 1))
-
-        def step(known: int) -> list[tuple[str, int, int]]:
-            nonlocal start, at, rank
-            out, a, k = [], np.array(at, np.int64), np.array(rank, np.int8)
-            while n - start > limit and known >= start + limit:
-                end = next_cut(a, k, start, limit, back)
-                out.append((path, start, end))
-                start = end - back
-            i = int(np.searchsorted(a, start))
-            at, rank = at[i:], rank[i:]
-            return out
-
+        path, stitch = None, None
         for f in frames:
             out = []
-            for p, size, r, a, k in f.itertuples(index=False):
+            for p, n, r, a, k in f.itertuples(index=False):
                 if p != path:
-                    if path is not None:
-                        out += [*step(n), (path, start, n)]
-                    path, n, start, at, rank = p, size, 0, [], []
-                at += list(a)
-                rank += list(k)
-                out += step(min(n, (r + 1) * range_bytes))
+                    out += [(path, *x) for x in stitch.close()] if stitch else []
+                    path, stitch = p, Stitcher(n, limit, overlap)
+                out += [(p, *x) for x in stitch.feed(a, k, min(n, (r + 1) * range_bytes))]
             yield pd.DataFrame(out, columns=["path", "start", "end_"])
-        if path is not None:
-            yield pd.DataFrame([*step(n), (path, start, n)], columns=["path", "start", "end_"])
+        if stitch:
+            yield pd.DataFrame([(path, *x) for x in stitch.close()], columns=["path", "start", "end_"])
 
     return tables.mapInPandas(walk, "path string, start long, end_ long")

@@ -66,6 +66,13 @@ def test_pieces_cover_the_text(text, code, limit, overlap):
     assert all(x[1] - y[0] == back and y[1] > x[1] for x, y in zip(p, p[1:]))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.", "b.)\"", "#", "\n", "\n\n", " ", "\r\n", " " * 300, "\n" * 40, "é。", "\"" * 300]), max_size=30).map("".join), st.booleans(), st.integers(1, 90))
+def test_ranges_of_any_size_have_the_boundaries_of_the_whole(text, code, size):
+    got = [x for _, at, rank in split.range_tables(text, code, size, halo=4) for x in zip(at, rank)]
+    assert got == list(zip(*split.boundaries(text, code)))
+
+
 def test_cuts_fall_at_natural_places():
     para = "One two three. Four five six.\n\nSeven eight nine ten eleven twelve thirteen fourteen."
     assert split.cuts(para, False, 60, 0)[0] == (0, para.index("Seven"))
@@ -89,11 +96,11 @@ def test_split_table(spark):
 
 
 def test_split_files(spark, tmp_path):
-    text = "".join(f"line {i} of the file\n" for i in range(3000))
+    text = "".join(f"line {i} of the file\n" for i in range(3000)) + " " * 9000 + "\nthe end"
     (tmp_path / "a.txt").write_text(text)
     (tmp_path / "b.txt").write_text("tiny")
     paths = [str(tmp_path / n) for n in ("a.txt", "b.txt")]
-    got = sorted((r.path, r.start, r.end_) for r in split.split_files(spark, paths, 500, 50, range_bytes=4096, halo=256).collect())
+    got = sorted((r.path, r.start, r.end_) for r in split.split_files(spark, paths, 500, 50, range_bytes=4096, halo=64).collect())
     assert [(s, e) for p, s, e in got if p == paths[0]] == split.cuts(text, False, 500, 50)
     assert [(s, e) for p, s, e in got if p == paths[1]] == [(0, 4)]
 
