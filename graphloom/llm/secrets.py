@@ -7,6 +7,7 @@ import binascii
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import small_enough
+
 #: Strings of which at least one stands on or right before each line that is looked at closely.
 KEYWORDS = (
     "pass", "pwd", "pw", " -p", " -u", "db(", "connect(", "secret", "token", "key", "seed", "auth", "cred", "bearer", "basic", "login", "conn", "storage", "dsn", "sig=", "salt", "pin",
@@ -40,6 +43,9 @@ ISSUED = (
     r"\b(ya29\.[A-Za-z0-9_-]{30,})",
 )
 _ISSUED = re.compile("|".join(ISSUED))
+#: What issuers put before the secret part.
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|AIza|xox[abposr]-|[srp]k_live_|sk-|npm_|pypi-|hf_|SG\.|shpat_|dop_v1_|ya29\.")
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _JWT = re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:\\r|\\n|[\s\"'`+#/*>|-])*(?:[A-Za-z]+-?[A-Za-z]+: [^\n]*\n[\s#/*>|]*)*([A-Za-z0-9+/=]{20,})")
@@ -105,7 +111,7 @@ def secret_name(name: str) -> bool:
 def harmless(value: str, named: bool = True) -> bool:
     """Whether a value cannot be a secret itself: empty, masked, a placeholder, a reference, a pattern, an id or a word."""
     v = value.strip()
-    if len(v) < 6 or _REFERENCE.search(v) or _MASKED.match(v) or _PLACEHOLDER.search(v):
+    if len(v) < 6 or blanked(v) or _REFERENCE.search(v) or _MASKED.match(v) or _PLACEHOLDER.search(v):
         return True
     if re.search(r"\[[^\]]*\]|\.\*|\\[dwsS]|\{\d+,?\d*\}|\(\?", v):
         return True
@@ -272,21 +278,22 @@ def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int,
 
 
 def scan(chunks: DataFrame) -> DataFrame:
-    """(id, line_no, start, end_): every secret of every chunk_text; offsets are code points, end_ is exclusive.
+    """(id, line_no, start, end_, verified): every secret of every chunk_text; offsets are code points, end_ is exclusive.
 
     A keyword automaton passes over each whole text; only lines with a keyword are matched against issuers' formats, key
     and value pairs, logins and headers, and what is found must be no placeholder, reference, pattern, hash or id, must
     decode where its format says so, or must hold a key body. Repeated rows give repeated rows here. Null and empty
-    texts give none. Only id and chunk_text are read.
+    texts give none. ``verified`` says of tokens with a checksum whether it holds, null of all else; a token whose checksum
+    does not hold is reported all the same, as issuers keep old formats valid. Only id and chunk_text are read.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = _automaton()
         for f in frames:
-            rows = [(i, *hit) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1]) if t for hit in find_secrets(t, auto)]
-            yield pd.DataFrame(rows, columns=["id", "line_no", "start", "end_"])
+            rows = [(i, *hit, verified(t[hit[1] : hit[2]])) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1]) if t for hit in find_secrets(t, auto)]
+            yield pd.DataFrame(rows, columns=["id", "line_no", "start", "end_", "verified"])
 
-    return chunks.select("id", "chunk_text").mapInPandas(run, "id string, line_no int, start int, end_ int")
+    return chunks.select("id", "chunk_text").mapInPandas(run, "id string, line_no int, start int, end_ int, verified boolean")
 
 
 def secret_lines(chunks: DataFrame) -> DataFrame:
@@ -294,26 +301,71 @@ def secret_lines(chunks: DataFrame) -> DataFrame:
     return scan(chunks).select("id", "line_no").distinct()
 
 
-_FILL = {"lower": "q", "upper": "Q", "digit": "0"}
+#: Alphabets, the narrowest first, with what stands for a lower-case letter, a capital and a digit of each.
+_ALPHABETS = (
+    (re.compile(r"[\d\W_]*"), "", "", "0"),
+    (re.compile(r"[0-9a-fA-F\W_]*"), "a", "A", "0"),
+    (re.compile(r"[A-Z2-7\W_]*"), "", "Q", "2"),
+    (re.compile(r"[1-9A-HJ-NP-Za-km-z]{25,}"), "q", "Q", "2"),
+    (re.compile(r".*", re.S), "q", "Q", "0"),
+)
 
 
 def blank(value: str) -> str:
-    """A placeholder of the same length and alphabet: letters and digits are replaced, marks stay."""
-    return "".join(_FILL["digit"] if c.isdigit() else _FILL["upper"] if c.isupper() else _FILL["lower"] if c.isalpha() else c for c in value)
+    """A placeholder of the same length and alphabet: a hexadecimal value stays one, base32, base58 and base64 likewise.
+
+    An issuer's prefix and all marks stay where they are. A checksum within the value does not hold afterwards.
+    """
+    m = _PREFIX.match(value)
+    keep = m.end() if m and m.end() < len(value) else 0
+    body = value[keep:]
+    low, up, digit = next(f[1:] for f in _ALPHABETS if f[0].fullmatch(body))
+    return value[:keep] + "".join(digit if c.isdigit() else up if c.isupper() else low if c.isalpha() else c for c in body)
+
+
+def blanked(value: str) -> bool:
+    """Whether a value is a placeholder that :func:`blank` left."""
+    m = _PREFIX.match(value)
+    letters = {c for c in value[m.end() if m else 0 :] if c.isalnum()}
+    return bool(letters) and (letters <= set("aA0") or letters <= set("qQ0") or letters <= set("qQ2"))
+
+
+def base62(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n, 62)
+        out = _BASE62[r] + out
+    return out
+
 
+def verified(token: str) -> bool | None:
+    """Whether the checksum in an issued token holds; null where its format has none that is public.
 
-def redact_text(text: str, auto: ahocorasick.Automaton) -> str:
-    """The text with the secret values blanked out and everything else, markers of key blocks included, as it was."""
-    done = text
-    for _, a, b in find_secrets(text, auto):
-        part = done[a:b]
+    The last six characters of some formats are the CRC-32 of what lies between prefix and them, in base 62.
+    """
+    m = re.fullmatch(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})", token)
+    if not m:
+        return None
+    return base62(zlib.crc32(m.group(1).encode())).rjust(6, "0") == m.group(2)
+
+
+def redacted(text: str, auto: ahocorasick.Automaton) -> tuple[str, int]:
+    """(text, secrets): the text with the secret values blanked out and everything else, markers of key blocks included, as it was."""
+    out, done = [], 0
+    found = find_secrets(text, auto)
+    for _, a, b in sorted(found, key=lambda x: x[1:]):
+        if b <= done:
+            continue
+        a = max(a, done)
+        part = text[a:b]
         if "-----BEGIN" in part:
             bits = re.split(r"(-----[^-\n]+-----|\\[nr])", part)
             part = "".join(x if x.startswith(("-----", "\\")) else blank(x) for x in bits)
         else:
             part = blank(part)
-        done = done[:a] + part + done[b:]
-    return done
+        out += [text[done:a], part]
+        done = b
+    return "".join([*out, text[done:]]), len(found)
 
 
 def redact(chunks: DataFrame) -> DataFrame:
@@ -325,6 +377,20 @@ def redact(chunks: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<text:string,n:int>")
     def clean(texts: pd.Series) -> pd.DataFrame:
         auto = _automaton()
-        return pd.DataFrame([(t, 0) if not t else (redact_text(t, auto), len(find_secrets(t, auto))) for t in texts], columns=["text", "n"])
+        return pd.DataFrame([redacted(t, auto) if t else (t, 0) for t in texts], columns=["text", "n"])
 
     return chunks.select("id", clean("chunk_text").alias("r")).select("id", F.col("r.text").alias("chunk_text"), F.col("r.n").alias("n_secrets"))
+
+
+def redact_once(chunks: DataFrame) -> DataFrame:
+    """The rows of :func:`redact`, once an id; of unlike texts of one id the least.
+
+    Only rows whose id is repeated are brought together; all others stay where they are read.
+    """
+    again = chunks.groupBy("id").count().filter("count > 1").select("id")
+    if small_enough(again, 1_000_000):
+        again = F.broadcast(again)
+    same = F.col("id").eqNullSafe(F.col("again"))
+    own, again = chunks.select("id", "chunk_text"), again.withColumnRenamed("id", "again")
+    few = own.join(again, same, "left_semi").groupBy("id").agg(F.min("chunk_text").alias("chunk_text"))
+    return redact(own.join(again, same, "left_anti").unionByName(few))

@@ -3,6 +3,7 @@
 import base64
 import os
 import time
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -128,7 +129,7 @@ MEEK = [
 @pytest.mark.parametrize("text,lines", LIVE)
 def test_secrets_are_found_and_blanked(text, lines):
     assert sorted({n for n, _, _ in secrets.find_secrets(text, AUTO)}) == lines
-    clean = secrets.redact_text(text, AUTO)
+    clean, _ = secrets.redacted(text, AUTO)
     assert len(clean) == len(text) and clean.count("\n") == text.count("\n") and clean != text
     for _, a, b in secrets.find_secrets(text, AUTO):
         assert text[a:b] not in clean
@@ -137,13 +138,29 @@ def test_secrets_are_found_and_blanked(text, lines):
 @pytest.mark.parametrize("text", MEEK)
 def test_look_alikes_are_left_alone(text):
     assert secrets.find_secrets(text, AUTO) == []
-    assert secrets.redact_text(text, AUTO) == text
+    assert secrets.redacted(text, AUTO) == (text, 0)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200))
 def test_redaction_keeps_lengths(text):
-    assert len(secrets.redact_text(text, AUTO)) == len(text)
+    assert len(secrets.redacted(text, AUTO)[0]) == len(text)
+
+
+def test_placeholders_keep_the_alphabet():
+    assert secrets.blank("deadBEEF0123") == "aaaaAAAA0000" and secrets.blank("NBSWY3DPEB3W64TM") == "QQQQQ2QQQQ2Q22QQ"
+    assert secrets.blank("ghp_" + "Xy0" * 12) == "ghp_" + "Qq0" * 12 and secrets.blank("12345678") == "00000000"
+    assert "0" not in secrets.blank("5HueCGU8rMjxEXxiPuD5BDku4MkFqeZyd4dZ1jvhTVqvbTLvyTJ")
+    for text, _ in LIVE:
+        clean, n = secrets.redacted(text, AUTO)
+        assert n and secrets.find_secrets(clean, AUTO) == []
+
+
+def test_checksums_of_tokens():
+    body = "0123456789ABCDEFGHIJabcdefghij"
+    good = next(f"ghp_{body}{t}" for t in [secrets.base62(zlib.crc32(body.encode())).rjust(6, "0")])
+    assert secrets.verified(good) and secrets.verified(good[:-1] + ("a" if good[-1] != "a" else "b")) is False and secrets.verified("AKIA" + "A" * 16) is None
+    assert secrets.verified(secrets.blank(good)) is False
 
 
 def test_secret_tables(spark):
