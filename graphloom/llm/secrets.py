@@ -251,7 +251,7 @@ def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int,
     out, seen, line_no, counted = [], set(), 1, 0
     blocks = []
     for m in _PEM.finditer(text):
-        if (b := _BODY.match(text, m.end())) and not _MASKED.match(b.group(1)):
+        if (b := _BODY.match(text, m.end())) and not _MASKED.match(b.group(1)) and not blanked(b.group(1)):
             e = _PEM_END.search(text, m.end())
             blocks.append((m.start(), e.end() if e else b.end(1)))
     for a in starts:
