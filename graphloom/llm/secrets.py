@@ -176,7 +176,7 @@ def _line_secrets(line: str, named: str | None) -> list[tuple[int, int]]:
     found += [m.span(m.lastindex) for m in _ISSUED.finditer(line) if not harmless(m.group(m.lastindex)) and "EXAMPLE" not in m.group()]
     found += [m.span(1) for m in _JWT.finditer(line) if _jwt(m.group(1))]
     for m in _URL.finditer(line):
-        if not harmless(m.group(2)) or (len(m.group(2)) > 3 and not _REFERENCE.search(m.group(2)) and not _MASKED.match(m.group(2)) and not _PLACEHOLDER.search(m.group(2))):
+        if not harmless(m.group(2)) or (len(m.group(2)) > 3 and not blanked(m.group(2)) and not _REFERENCE.search(m.group(2)) and not _MASKED.match(m.group(2)) and not _PLACEHOLDER.search(m.group(2))):
             found.append(m.span(2))
     for m in _AUTH.finditer(line):
         v = m.group(2)
