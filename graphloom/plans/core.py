@@ -11,7 +11,7 @@ from graphloom.operators import resolve as R
 from graphloom.operators import retrieval as T
 from graphloom.operators import views as V
 from graphloom.plans.catalog import query
-from graphloom.runtime import table
+from graphloom.runtime import cut, table
 
 
 def _n(spark: SparkSession, d: str) -> DataFrame:
@@ -314,10 +314,9 @@ def similarity_cdf(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- resolution
-RAW = f"""u0 AS (SELECT name, kind, source_file, description, def_line, ent_id FROM extracted_code UNION ALL SELECT name, kind, source_file, description, def_line, ent_id FROM extracted_doc),
-u AS (SELECT name, kind, source_file, min(ent_id) AS seq, {_code('source_file')} AS is_code, {_key('name')} AS k FROM u0 WHERE name IS NOT NULL AND source_file IS NOT NULL GROUP BY name, kind, source_file),
-raw AS (SELECT *, (k = '' OR name IN {S.STOPLIST!r} OR k IN {S.STOPLIST!r}) AS is_local, CASE WHEN (k = '' OR name IN {S.STOPLIST!r} OR k IN {S.STOPLIST!r}) THEN 'local|' || source_file || '|' || name ELSE k END AS key FROM u),
-cl AS (SELECT key, count(*) AS n_members, count(DISTINCT CASE WHEN is_code THEN name || chr(0) || source_file END) AS n_defs FROM raw GROUP BY 1)"""
+RAW = f"""u AS (SELECT DISTINCT * FROM (SELECT ent_id AS seq, name, kind, source_file, description, def_line FROM extracted_code UNION ALL SELECT ent_id, name, kind, source_file, description, def_line FROM extracted_doc) WHERE name IS NOT NULL AND source_file IS NOT NULL),
+raw AS (SELECT *, NULL::DOUBLE[] AS embedding, {_code('source_file')} AS is_code, {_key('name')} AS base, (base = '' OR name IN {S.STOPLIST!r} OR base IN {S.STOPLIST!r}) AS is_local, CASE WHEN is_local THEN 'local|' || source_file || '|' || CASE WHEN base = '' THEN name ELSE base END ELSE base END AS key FROM u)"""
+CL = "cl AS (SELECT key, count(*) AS n_members, count(DISTINCT CASE WHEN is_code THEN name || chr(1) || source_file END) AS n_defs FROM raw GROUP BY 1)"
 
 
 @query("name_normalize", f"SELECT DISTINCT name, {_key('name')} AS key FROM entities")
@@ -325,58 +324,131 @@ def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").select("name", S.normalize_name(F.col("name")).alias("key")).distinct()
 
 
-@query("resolve_clusters", f"WITH {RAW} SELECT key, n_members, n_defs, n_defs >= 2 AS ambiguous FROM cl")
+@query("resolve_clusters", f"WITH {RAW}, {CL} SELECT key, n_members, n_defs, n_defs >= 2 AS ambiguous FROM cl")
 def resolve_clusters(spark: SparkSession, d: str) -> DataFrame:
     return R.clusters(_raw(spark, d))
 
 
 _CID = "sha256('|code|' || name || '|' || source_file)"
-_CANON = f"""m AS (SELECT raw.*, n_defs, CASE WHEN n_defs >= 2 AND is_code THEN {_CID} ELSE '' END AS part FROM raw JOIN cl USING (key)),
-cn AS (SELECT key, part, count(*) AS n_members, max(is_code) AS is_code, count(DISTINCT name) AS n_aliases, count(DISTINCT source_file) AS n_sources, max(CASE WHEN is_code THEN {_CID} END) AS code_id, sha256('|concept|' || key) AS concept_id FROM m GROUP BY 1, 2),
-cx AS (SELECT *, CASE WHEN is_code THEN code_id ELSE concept_id END AS id FROM cn)"""
+_DOT = "list_dot_product(q.embedding, d.v) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(d.v, d.v)))"
+# mentions of an ambiguous name join the nearest definition; the rest of the cluster is one concept
+_CANON = CL + f""", m0 AS (SELECT raw.*, n_defs, CASE WHEN n_defs >= 2 AND is_code THEN {_CID} ELSE '' END AS part0 FROM raw JOIN cl USING (key)),
+df AS (SELECT key, part0, arg_min(embedding, seq) AS v, min(seq) AS first FROM m0 WHERE part0 <> '' GROUP BY 1, 2),
+nr AS (SELECT seq, name, source_file, part0 AS near FROM (SELECT q.seq, q.name, q.source_file, d.part0, row_number() OVER (PARTITION BY q.seq, q.name, q.source_file ORDER BY {_DOT} DESC, d.first) AS r
+  FROM m0 q JOIN df d ON d.key = q.key WHERE q.n_defs >= 2 AND NOT q.is_code AND len(q.embedding) = len(d.v) AND {_DOT} >= {R.SIMILAR}) WHERE r = 1),
+m AS (SELECT m0.* EXCLUDE (part0), coalesce(near, part0) AS part FROM m0 LEFT JOIN nr USING (seq, name, source_file)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY is_code DESC, CASE WHEN is_code OR n_defs >= 2 THEN 0 ELSE coalesce(length(description), 0) END DESC, seq) AS rank FROM m),
+an AS (SELECT *, CASE WHEN is_code THEN {_CID} WHEN base = '' THEN sha256('|concept|' || chr(0) || 'local' || chr(0) || source_file || chr(0) || name) ELSE sha256('|concept|' || base) END AS id FROM rk WHERE rank = 1),
+gr AS (SELECT key, part, count(*) AS n_members, list_sort(list(DISTINCT name)) AS aliases, list_sort(list(DISTINCT source_file)) AS sources, coalesce(list_sort(list(DISTINCT kind) FILTER (WHERE kind <> '')), []) AS kinds, min(seq) AS first FROM m GROUP BY 1, 2),
+gs AS (SELECT *, min(first) OVER (PARTITION BY key) AS start FROM gr),
+cx0 AS (SELECT an.id, key, part, an.name, an.kind, an.is_code, an.base, n_members, aliases, sources, kinds, row_number() OVER (ORDER BY start, NOT an.is_code, first) AS ord FROM gs JOIN an USING (key, part)),
+cx AS (SELECT * FROM cx0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1)"""
+
+
+@query("resolve_canonical", f"WITH {RAW}, {_CANON} SELECT id, key, name, is_code, n_members, len(aliases) AS n_aliases, len(sources) AS n_sources, len(kinds) AS n_kinds FROM cx")
+def resolve_canonical(spark: SparkSession, d: str) -> DataFrame:
+    n = R.canonical(R.members(_raw(spark, d)))
+    return n.select("id", "key", "name", "is_code", "n_members", F.size("aliases").alias("n_aliases"), F.size("sources").alias("n_sources"), F.size("kinds").alias("n_kinds"))
 
 
-@query("resolve_canonical", f"WITH {RAW}, {_CANON} SELECT id, key, is_code, n_members, n_aliases, n_sources FROM cx")
-def resolve_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return R.canonical(_raw(spark, d)).select("id", "key", "is_code", "n_members", F.size("aliases").alias("n_aliases"), F.size("sources").alias("n_sources"))
-
-
-_RES = f"""WITH {RAW}, {_CANON}, mm AS (SELECT m.*, cx.id, cx.is_code AS node_code FROM m JOIN cx ON cx.key = m.key AND cx.part = m.part),
-l_exact AS (SELECT name, source_file, min(id) AS id FROM mm GROUP BY 1, 2), l_mod AS (SELECT source_file AS path, min(id) AS id FROM mm WHERE is_code AND kind = 'module' GROUP BY 1),
-l_base AS (SELECT regexp_extract(source_file, '[^/]*$') AS base, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM mm WHERE is_code AND kind = 'module' GROUP BY 1),
-l_amb AS (SELECT DISTINCT key FROM mm WHERE n_defs >= 2), l_name AS (SELECT key, min(id) AS id, max(node_code) AS code FROM mm WHERE n_defs < 2 AND NOT is_local GROUP BY 1),
-l_leaf AS (SELECT {_key("regexp_extract(name, '[^.]*$')")} AS leaf, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM mm WHERE is_code AND contains(name, '.') GROUP BY 1),
-r0 AS (SELECT DISTINCT target_name AS ref, source_file FROM raw_relationships WHERE target_name IS NOT NULL),
-r1 AS (SELECT *, regexp_replace(split_part(ref, ':', 1), '^[./]+', '') AS h, CASE WHEN contains(ref, ':') THEN substr(ref, strpos(ref, ':') + 1) ELSE '' END AS tl, list_filter(string_split(ref, '.'), lambda x: x <> '') AS ds FROM r0),
-r2 AS (SELECT *, {_code('h')} AS pathy, {_key('ref')} AS k, CASE WHEN contains(ref, '.') THEN {_key('ds[-1]')} END AS k1, CASE WHEN contains(ref, '.') AND len(ds) > 1 THEN {_key('ds[-2]')} END AS k2 FROM r1),
-r3 AS (SELECT r2.*, sy.id AS sym_id, coalesce(mo.id, ba.id) AS path_id, ex.id AS exa_id, am.key IS NOT NULL AS amb, na.id AS nam_id, na.code AS nam_code, le.leaf IS NOT NULL AS has_leaf, le.id AS leaf_id,
-  coalesce(CASE WHEN a1.key IS NULL THEN n1.id END, CASE WHEN a2.key IS NULL THEN n2.id END) AS dot_id FROM r2
-  LEFT JOIN l_exact sy ON pathy AND tl <> '' AND NOT regexp_matches(tl, '^\\d') AND sy.name = trim(tl) AND sy.source_file = h LEFT JOIN l_mod mo ON pathy AND mo.path = h LEFT JOIN l_base ba ON pathy AND ba.base = regexp_extract(h, '[^/]*$')
-  LEFT JOIN l_exact ex ON ex.name = ref AND ex.source_file = r2.source_file LEFT JOIN l_amb am ON am.key = k LEFT JOIN l_name na ON na.key = k LEFT JOIN l_leaf le ON le.leaf = k
-  LEFT JOIN l_amb a1 ON a1.key = k1 LEFT JOIN l_name n1 ON n1.key = k1 LEFT JOIN l_amb a2 ON a2.key = k2 LEFT JOIN l_name n2 ON n2.key = k2),
-rs AS (SELECT ref, source_file, CASE WHEN sym_id IS NOT NULL THEN 'symbol' WHEN path_id IS NOT NULL THEN 'module' WHEN exa_id IS NOT NULL THEN 'exact' WHEN amb THEN 'ambiguous' WHEN nam_code THEN 'code' WHEN has_leaf THEN 'leaf' WHEN nam_id IS NOT NULL THEN 'doc' WHEN dot_id IS NOT NULL THEN 'dotted' ELSE 'none' END AS step, * EXCLUDE (ref, source_file) FROM r3)
+def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the graph once a source, with the vector of their chunk, as if just extracted."""
+    n = _n(spark, d).select("id", "name", "kind", "description", "def_line", F.explode("sources").alias("source_file"))
+    v = table(spark, d, "chunks").groupBy(G.canonical_id(F.col("id")).alias("id")).agg(F.min("embedding").alias("embedding"))
+    e = n.join(v, "id", "left").select("*", F.xxhash64("id", "source_file").alias("ent_id"))
+    return R.raw_entities(e, e.limit(0))
+
+
+@query(
+    "resolve_ambiguous",
+    f"""WITH {NODES}, v AS (SELECT {_canon('id')} AS id, min(embedding) AS embedding FROM chunks GROUP BY 1),
+    e AS (SELECT id, name, kind, unnest(sources) AS source_file FROM n), s AS (SELECT e.*, embedding, {_code('source_file')} AS is_code, {_key('name')} AS key FROM e LEFT JOIN v USING (id)),
+    t AS (SELECT key FROM s WHERE is_code AND key NOT IN ('', 'a') GROUP BY 1 HAVING count(DISTINCT name || chr(1) || source_file) >= 2),
+    q AS (SELECT s.* FROM s JOIN t USING (key) WHERE NOT is_code AND len(embedding) > 0), df AS (SELECT key, name, source_file, embedding FROM s JOIN t USING (key) WHERE is_code),
+    c AS (SELECT q.id, q.source_file, q.name, max(CASE WHEN list_cosine_similarity(q.embedding::DOUBLE[], df.embedding::DOUBLE[]) >= {R.SIMILAR} THEN 1 ELSE 0 END) AS near FROM q JOIN df ON df.key = q.key AND len(df.embedding) = len(q.embedding) AND list_sum(list_transform(df.embedding, lambda x: abs(x))) > 0 AND list_sum(list_transform(q.embedding, lambda x: abs(x))) > 0 GROUP BY 1, 2, 3)
+    SELECT q.name, count(*) AS n_mentions, count(*) FILTER (WHERE near = 1) AS n_joined FROM q LEFT JOIN c USING (id, source_file, name) GROUP BY 1""",
+)
+def resolve_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """How many mentions of names with several definitions join one of them by their vectors."""
+    m = _first_vectors(R.members(_with_vectors(spark, d).filter("key NOT IN ('', 'a') AND NOT is_local")))
+    return m.groupBy("name").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if(F.col("part") != "").alias("n_joined"))
+
+
+def _first_vectors(m: DataFrame) -> DataFrame:
+    return m.filter("n_defs >= 2 AND NOT is_code AND size(embedding) > 0")
+
+
+_RES = f"""WITH {RAW}, {_CANON}, ids AS (SELECT m.*, cx.id FROM m JOIN cx USING (key, part)),
+l_exact AS (SELECT name, source_file, arg_max(coalesce(cx.id, CASE WHEN m.part <> '' THEN m.part WHEN m.is_code THEN sha256('|code|' || m.name || '|' || m.source_file) WHEN m.base = '' THEN sha256('|concept|' || chr(0) || 'local' || chr(0) || m.source_file || chr(0) || m.name) ELSE sha256('|concept|' || m.base) END), seq) AS id FROM m LEFT JOIN (SELECT id, key, part FROM cx) cx USING (key, part) GROUP BY 1, 2),
+mo0 AS (SELECT id, ord, unnest(sources) AS path FROM cx WHERE list_contains(kinds, 'module')), l_mod AS (SELECT path, arg_max(id, ord) AS id FROM mo0 WHERE {_code('path')} GROUP BY 1),
+l_base AS (SELECT regexp_extract(path, '[^/]*$') AS base, min(id) AS id FROM mo0 WHERE {_code('path')} GROUP BY 1 HAVING count(DISTINCT id) = 1),
+l_amb AS (SELECT DISTINCT base AS key FROM m WHERE n_defs >= 2), l_name AS (SELECT DISTINCT key, cx.id, cx.is_code AS code FROM (SELECT DISTINCT key FROM m WHERE n_defs < 2 AND NOT is_local) JOIN cx USING (key)),
+le0 AS (SELECT id, regexp_extract(s, '[^.]*$') AS lf FROM (SELECT id, unnest(list_distinct(list_append(aliases, name))) AS s FROM cx WHERE is_code) WHERE contains(s, '.')),
+l_leaf AS (SELECT {_key('lf')} AS leaf, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM le0 WHERE {_key('lf')} NOT IN {('', *S.STOPLIST)!r} AND lf NOT IN {S.STOPLIST!r} GROUP BY 1),
+rr AS (SELECT DISTINCT raw_id, source_name, target_name, kind, source_file, description, source_line FROM raw_relationships),
+r0 AS (SELECT DISTINCT ref, source_file FROM (SELECT target_name AS ref, source_file FROM rr UNION ALL SELECT source_name, source_file FROM rr) WHERE ref IS NOT NULL),
+r1 AS (SELECT *, trim(ref) AS t, split_part(trim(ref), ':', 1) AS f0, regexp_replace(f0, '^[./]+', '') AS fp, contains(trim(ref), ':') AND ({" OR ".join(f"ends_with(split_part(trim(ref), ':', 1), '{x}')" for x in S.CODE_EXT)}) AS colon, contains(ref, '/') OR {" OR ".join(f"ends_with(ref, '{x}')" for x in S.CODE_EXT)} AS pathy,
+  trim(CASE WHEN contains(trim(ref), ':') THEN substr(trim(ref), strpos(trim(ref), ':') + 1) ELSE '' END) AS tl, regexp_replace(regexp_replace(trim(ref), '^[./]+', ''), '/+$', '') AS p, list_filter(string_split(ref, '.'), lambda x: x <> '') AS ds, {_key('ref')} AS k FROM r0),
+r2 AS (SELECT *, CASE WHEN contains(ref, '.') THEN {_key('ds[-1]')} END AS k1, CASE WHEN contains(ref, '.') AND len(ds) > 1 THEN {_key('ds[-2]')} END AS k2 FROM r1),
+r3 AS (SELECT r2.ref, r2.source_file, sy.id AS sym_id, coalesce(m1.id, b1.id) AS file_id, coalesce(m2.id, b2.id) AS path_id, ex.id AS exa_id, am.key IS NOT NULL AS amb, na.id AS nam_id, coalesce(na.code, FALSE) AS nam_code, le.leaf IS NOT NULL AS has_leaf, le.id AS leaf_id, coalesce(n1.id, n2.id) AS dot_id FROM r2
+  LEFT JOIN l_exact sy ON colon AND tl <> '' AND NOT regexp_matches(tl, '^\\d') AND sy.name = tl AND sy.source_file = fp LEFT JOIN l_mod m1 ON colon AND m1.path = fp LEFT JOIN l_base b1 ON colon AND b1.base = regexp_extract(fp, '[^/]*$')
+  LEFT JOIN l_mod m2 ON pathy AND m2.path = p LEFT JOIN l_base b2 ON pathy AND b2.base = regexp_extract(p, '[^/]*$') LEFT JOIN l_exact ex ON ex.name = ref AND ex.source_file = r2.source_file
+  LEFT JOIN l_amb am ON am.key = k LEFT JOIN l_name na ON na.key = k AND k <> '' LEFT JOIN l_leaf le ON le.leaf = k LEFT JOIN l_name n1 ON n1.key = k1 AND k1 <> '' LEFT JOIN l_name n2 ON n2.key = k2 AND k2 <> ''),
+rs AS (SELECT ref, source_file, CASE WHEN sym_id IS NOT NULL THEN 'symbol' WHEN file_id IS NOT NULL THEN 'file' WHEN path_id IS NOT NULL THEN 'path' WHEN exa_id IS NOT NULL THEN 'exact' WHEN amb THEN 'ambiguous' WHEN nam_code THEN 'code' WHEN has_leaf THEN 'leaf' WHEN nam_id IS NOT NULL THEN 'doc' WHEN dot_id IS NOT NULL THEN 'dotted' ELSE 'none' END AS step,
+  CASE step WHEN 'symbol' THEN sym_id WHEN 'file' THEN file_id WHEN 'path' THEN path_id WHEN 'exact' THEN exa_id WHEN 'code' THEN nam_id WHEN 'doc' THEN nam_id WHEN 'leaf' THEN leaf_id WHEN 'dotted' THEN dot_id END AS id FROM r3),
+en AS (SELECT rr.*, a.id AS sid, b.id AS tid, a.id IS NULL OR b.id IS NULL OR a.id = b.id AS lost FROM rr LEFT JOIN rs a ON a.ref = source_name AND a.source_file = rr.source_file LEFT JOIN rs b ON b.ref = target_name AND b.source_file = rr.source_file),
+ed AS (SELECT sid AS source_id, tid AS target_id, kind, min(raw_id) AS raw_id, arg_min(source_line, raw_id) AS source_line FROM en WHERE NOT lost GROUP BY 1, 2, 3)
 """
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "raw_relationships").filter("target_name IS NOT NULL").select(F.col("target_name").alias("ref"), "source_file")
-    return R.resolve_endpoints(refs, _raw(spark, d))
+def _resolver(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = cut(R.members(_raw(spark, d)))
+    n = cut(R.canonical(m))
+    return m, n, R.lookups(m, n)
+
+
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "raw_relationships")
+    return r.select(F.col("target_name").alias("ref"), "source_file").unionByName(r.select(F.col("source_name").alias("ref"), "source_file"))
 
 
-@query("endpoint_resolution", _RES + "SELECT ref, source_file, step, CASE step WHEN 'symbol' THEN sym_id WHEN 'module' THEN path_id WHEN 'exact' THEN exa_id WHEN 'code' THEN nam_id WHEN 'doc' THEN nam_id WHEN 'leaf' THEN leaf_id WHEN 'dotted' THEN dot_id END AS id FROM rs")
+@query("endpoint_resolution", _RES + "SELECT ref, source_file, step, id FROM rs")
 def endpoint_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d)
+    return R.resolve_endpoints(_ends(spark, d), _resolver(spark, d)[2])
 
 
-@query("resolver_stats", _RES + "SELECT step, count(*) AS n_refs FROM rs GROUP BY 1")
+@query("resolved_edges", _RES + "SELECT source_id, target_id, kind, count(*) AS n FROM ed GROUP BY ALL")
+def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
+    e, _ = R.resolve_edges(table(spark, d, "raw_relationships"), _resolver(spark, d)[2])
+    return e.groupBy("source_id", "target_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("resolver_steps", _RES + "SELECT step, count(*) AS n_refs FROM rs GROUP BY 1")
+def resolver_steps(spark: SparkSession, d: str) -> DataFrame:
+    return R.resolve_endpoints(_ends(spark, d), _resolver(spark, d)[2]).groupBy("step").agg(F.count(F.lit(1)).alias("n_refs"))
+
+
+_MD = "len(list_filter(sources, lambda x: ends_with(x, '.md'))) > 0"
+
+
+@query(
+    "resolver_stats",
+    _RES
+    + f""", fl AS (SELECT id, is_code, {_MD} AS md FROM cx) SELECT (SELECT count(*) FROM m) AS raw_entities, (SELECT count(*) FROM cx) AS canonical_nodes, (SELECT count(*) FROM cx WHERE len(sources) >= 2) AS multi_source_nodes, (SELECT count(*) FROM cx WHERE is_code AND {_MD}) AS code_and_doc_nodes,
+    (SELECT count(*) FROM en) AS raw_relationships, (SELECT count(*) FROM ed) AS resolved_edges, (SELECT count(*) FROM en WHERE lost) AS dropped_edges, (SELECT count(*) FROM l_amb) AS ambiguous_names,
+    (SELECT count(*) FROM ed JOIN fl a ON a.id = source_id JOIN fl b ON b.id = target_id WHERE (a.is_code AND b.md) OR (b.is_code AND a.md)) AS cross_altitude_edges""",
+)
 def resolver_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d).groupBy("step").agg(F.count(F.lit(1)).alias("n_refs"))
+    m, n, t = _resolver(spark, d)
+    e, ends = R.resolve_edges(table(spark, d, "raw_relationships"), t)
+    return R.resolver_stats(n, m, e, ends)
 
 
 @query("drop_buckets")
 def drop_buckets(spark: SparkSession, d: str) -> DataFrame:
-    lost = _resolved(spark, d).filter("id IS NULL").select(F.col("ref").alias("phrase"))
-    return R.drop_buckets(lost, _raw(spark, d)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_phrases"))
+    m, n, t = _resolver(spark, d)
+    lost = R.resolve_endpoints(_ends(spark, d), t).filter("id IS NULL").select(F.col("ref").alias("phrase"))
+    return R.drop_report(R.drop_buckets(lost, m, n))
 
 
 # ---- views and text

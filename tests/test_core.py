@@ -1,5 +1,6 @@
 """Scalar functions, graph, retrieval, resolution, views, orphans, and the registered queries against their SQL."""
 
+import hashlib
 import os
 
 import pytest
@@ -130,15 +131,39 @@ def test_resolution(spark):
     s = "ent_id long, name string, kind string, source_file string, description string, def_line int"
     code = spark.createDataFrame([(1, "Panel", "class", "a/x.py", "short", 3), (2, "x", "module", "a/x.py", None, 0), (3, "Twice", "class", "a/x.py", None, 9), (4, "Twice", "class", "b/y.py", None, 1), (5, "Panel.draw", "function", "a/x.py", None, 5), (6, "main", "function", "a/x.py", None, 7)], s)
     doc = spark.createDataFrame([(7, "the panel", "component", "R.md", "a much longer description", None), (8, "Twice", "component", "R.md", None, None), (9, "Only Doc", "risk", "R.md", None, None)], s)
-    raw = resolve.raw_entities(code, doc)
-    nodes = {(r.key, r.is_code): r for r in resolve.canonical(raw).collect()}
+    m = resolve.members(resolve.raw_entities(code, doc))
+    found = resolve.canonical(m)
+    nodes = {(r.key, r.is_code): r for r in found.collect()}
     assert nodes["panel", True].n_members == 2 and nodes["panel", True].description == "short" and nodes["twice", False].n_members == 1
-    assert resolve.canonical(raw).filter("key = 'twice'").count() == 3
-    refs = spark.createDataFrame([(r, "c/z.py") for r in ("a/x.py:Panel", "x.py", "Panel", "twice", "draw", "Only Doc", "lib.Panel", "nothing", "a/x.py:12")], "ref string, source_file string")
-    got = {r.ref: (r.step, r.id is not None) for r in resolve.resolve_endpoints(refs, raw).collect()}
-    assert got == {"a/x.py:Panel": ("symbol", True), "x.py": ("module", True), "Panel": ("code", True), "twice": ("ambiguous", False), "draw": ("leaf", True), "Only Doc": ("doc", True), "lib.Panel": ("dotted", True), "nothing": ("none", False), "a/x.py:12": ("module", True)}
+    assert found.filter("key = 'twice'").count() == 3
+    known = resolve.lookups(m, found)
+    refs = spark.createDataFrame([(r, "c/z.py") for r in ("a/x.py:Panel", "x.py", "Panel", "twice", "draw", "Only Doc", "lib.Panel", "nothing", "a/x.py:12", "...", "a/x.py/", "main", None)], "ref string, source_file string")
+    got = {r.ref: (r.step, r.id is not None) for r in resolve.resolve_endpoints(refs, known).collect()}
+    assert got == {"a/x.py:Panel": ("symbol", True), "x.py": ("path", True), "Panel": ("code", True), "twice": ("ambiguous", False), "draw": ("leaf", True), "Only Doc": ("doc", True), "lib.Panel": ("dotted", True), "nothing": ("none", False), "a/x.py:12": ("file", True), "...": ("none", False), "a/x.py/": ("path", True), "main": ("none", False)}
     ph = spark.createDataFrame([(p,) for p in ("Twice", "src/tools", "asyncio.run_it", "some words about it", "a/x.py", "gone", "Panel (class, a/x.py)")], "phrase string")
-    assert {r.phrase: r.bucket for r in resolve.drop_buckets(ph, raw).collect()} == {"Twice": "ambiguous", "src/tools": "directory", "asyncio.run_it": "external", "some words about it": "prose", "a/x.py": "recoverable", "gone": "no_referent", "Panel (class, a/x.py)": "recoverable"}
+    assert {r.phrase: r.bucket for r in resolve.drop_buckets(ph, m, found).collect()} == {"Twice": "ambiguous", "src/tools": "directory", "asyncio.run_it": "external", "some words about it": "prose", "a/x.py": "recoverable", "gone": "no_referent", "Panel (class, a/x.py)": "recoverable"}
+    rel = "raw_id long, source_name string, target_name string, kind string, source_file string, description string, source_line int"
+    rows = [(1, "x", "Panel", "contains", "a/x.py", "d", 3), (1, "x", "Panel", "contains", "a/x.py", "d", 3), (2, "x", "Panel", "contains", "a/x.py", "later", 9), (3, "Panel", "Panel", "calls", "a/x.py", None, None), (4, "Panel", "nothing", "calls", "a/x.py", None, None), (5, None, "Panel", "calls", "a/x.py", None, None), (6, "Only Doc", "Panel", "realizes", "R.md", None, None)]
+    e, ends = resolve.resolve_edges(spark.createDataFrame(rows, rel), known)
+    assert sorted((r.kind, r.source_line) for r in e.collect()) == [("contains", 3), ("realizes", None)]
+    s1 = resolve.resolver_stats(found, m, e, ends).first()
+    assert (s1.raw_relationships, s1.resolved_edges, s1.dropped_edges, s1.ambiguous_names, s1.code_and_doc_nodes) == (6, 2, 3, 1, 1)
+    assert resolve.canonical(resolve.members(resolve.raw_entities(code.limit(0), doc.limit(0)))).count() == 0
+
+
+def test_collision_guard(spark):
+    s = "ent_id long, name string, kind string, source_file string, description string, def_line int, embedding array<double>"
+    code = spark.createDataFrame([(1, "Root", "class", "a.py", "", 1, [1.0, 0.0]), (2, "root", "class", "b.py", "", 1, [0.0, 1.0]), (3, "root", "function", "b.py", "", 7, [0.5, 0.5])], s)
+    doc = spark.createDataFrame([(4, "Root", "component", "R.md", "near", None, [0.9, 0.1]), (5, "the root", "component", "S.md", "between", None, [0.7, 0.7]), (6, "Root", "component", "T.md", "no vector", None, None), (7, "Root", "component", "U.md", "odd", None, [1.0])], s)
+    m = resolve.members(resolve.raw_entities(code, doc))
+    got = {r.id: r for r in resolve.canonical(m).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert set(got) == {sha("|code|Root|a.py"), sha("|code|root|b.py"), sha("|concept|root")}
+    assert got[sha("|code|Root|a.py")].sources == ["R.md", "a.py"] and got[sha("|concept|root")].n_members == 3 and got[sha("|concept|root")].name == "the root"
+    assert got[sha("|code|root|b.py")].kinds == ["class", "function"]
+    local = spark.createDataFrame([(1, "main", "function", "a.py", "", 1, None), (2, "!", "risk", "x.md", "", None, None), (3, "run", "risk", "x.md", "", None, None)], s)
+    ids = {r.id for r in resolve.canonical(resolve.members(resolve.raw_entities(local, local.limit(0)))).collect()}
+    assert ids == {sha("|code|main|a.py"), sha("|concept|\0local\0x.md\0!"), sha("|concept|run")}
 
 
 def test_views(spark):
