@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
@@ -10,10 +12,15 @@ from graphloom.operators.orphans import canonical_id
 from graphloom.runtime import cut
 
 
+#: After every time that a table may hold; where a row without a time stands.
+LATE = "9999-01-01"
+
+
 def nodes(entities: DataFrame) -> DataFrame:
-    """One row an id; of repeated rows the least value of each attribute, ids in one spelling."""
+    """One row an id, in one spelling: of repeated rows the one that was seen first, as a whole."""
     cols = ["name", "kind", "description", "aliases", "sources", "kinds", "source_tier", "centrality", "confidence", "def_line", "graph_commit"]
-    return entities.withColumn("id", canonical_id(F.col("id"))).groupBy("id").agg(*(F.min(c).alias(c) for c in cols))
+    first = F.min_by(F.struct(*cols), F.coalesce(F.col("seen_at").cast("timestamp_ntz"), F.lit(LATE).cast("timestamp_ntz"))).alias("f")
+    return entities.withColumn("id", canonical_id(F.col("id"))).groupBy("id").agg(first).select("id", "f.*")
 
 
 def edges(relationships: DataFrame) -> DataFrame:
@@ -41,30 +48,43 @@ def centrality(n: DataFrame, e: DataFrame) -> DataFrame:
     return n.select("id").join(c, "id", "left").crossJoin(F.broadcast(top)).select("id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce(F.col("n_docs") / F.col("top"), F.lit(0.0)).alias("centrality"))
 
 
+def weighted_drift(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, drift): the mean drift by weight of (key, w, drift). Sums are decimal, so their order does not matter."""
+    exact = lambda c: F.col(c).cast("decimal(18,9)")
+    d = pairs.filter("drift IS NOT NULL").groupBy(key).agg(F.sum((exact("w") * exact("drift")).cast("decimal(28,14)")).cast("double").alias("wd"), F.sum(exact("w")).cast("double").alias("w"))
+    return d.select(key, F.when(F.col("w") > 0, F.col("wd") / F.col("w")).otherwise(0.0).alias("drift"))
+
+
 def confidence(n: DataFrame, e: DataFrame) -> DataFrame:
     """(id, authority, drift, confidence): authority less the weighted mean drift of the edges that leave a node."""
-    d = e.filter("drift IS NOT NULL").withColumn("w", S.edge_weight(F.col("kind"))).groupBy(F.col("source_id").alias("id")).agg(F.sum(F.col("w") * F.col("drift")).alias("wd"), F.sum("w").alias("w"))
+    d = weighted_drift(e.select(F.col("source_id").alias("id"), S.edge_weight(F.col("kind")).alias("w"), "drift"), "id")
     j = n.select("id", S.authority(F.col("sources")).alias("authority")).join(d, "id", "left")
-    drift = F.coalesce(F.when(F.col("w") > 0, F.col("wd") / F.col("w")), F.lit(0.0))
+    drift = F.coalesce("drift", F.lit(0.0))
     return j.select("id", "authority", drift.alias("drift"), (F.col("authority") * (1 - drift)).alias("confidence"))
 
 
+def places(c: Column, digits: int) -> Column:
+    """``c`` rounded as a decimal of nine places, so that what lies on a border does so on every engine."""
+    return F.round(c.cast("decimal(20,9)"), digits).cast("double")
+
+
 def parents(e: DataFrame) -> DataFrame:
     """(id, parent): the first node that contains each."""
     return e.filter("kind = 'contains'").groupBy(F.col("target_id").alias("id")).agg(F.min_by("source_id", "rel_id").alias("parent"))
 
 
-def depths(n: DataFrame, e: DataFrame, most: int = 32) -> DataFrame:
-    """(id, depth): steps of containment above each node; nodes on a cycle, which have no top, get none."""
+def depths(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, depth): steps of containment above each node; nodes on a cycle, which have no top, get none.
+
+    Goes on until a level is empty, which it is at last, as every node has one parent and no level repeats another's.
+    """
     p = cut(parents(e))
     level = cut(n.select("id").join(p, "id", "left_anti").withColumn("depth", F.lit(0)))
-    done = level
-    for k in range(1, most + 1):
-        level = cut(p.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(k).alias("depth")))
-        if not level.take(1):
-            break
-        done = done.unionByName(level)
-    return done
+    done, k = [level], 0
+    while done[-1].take(1):
+        k += 1
+        done.append(cut(p.join(done[-1].select(F.col("id").alias("parent")), "parent").select("id", F.lit(k).alias("depth"))))
+    return reduce(DataFrame.unionByName, done)
 
 
 def projects(n: DataFrame) -> DataFrame:
@@ -98,19 +118,24 @@ def scope_pairs(n: DataFrame, e: DataFrame) -> DataFrame:
     return j.groupBy(F.least("x", "y").alias("scope_a"), F.greatest("x", "y").alias("scope_b")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def pagerank(n: DataFrame, e: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
+def pagerank(n: DataFrame, e: DataFrame, tolerance: float = 1e-3, most: int = 200, damping: float = 0.85) -> DataFrame:
     """(id, rank): importance over structural edges, normalised to 1; dangling mass is dropped.
 
-    Each round pre-aggregates the shares per target; lineage is cut by reliable checkpoints.
+    Rounds go on until no rank changes by more than ``tolerance``; ``most`` rounds without that are an error. Each round
+    pre-aggregates the shares per target; lineage is cut by reliable checkpoints.
     """
     links = e.select("source_id", "target_id").distinct()
     out = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     links = cut(links.join(out, "source_id"))
-    ids = n.select("id").distinct()
-    rank = ids.withColumn("rank", F.lit(1.0))
-    for _ in range(rounds):
+    rank = n.select("id").distinct().withColumn("rank", F.lit(1.0))
+    for _ in range(most):
         got = links.join(rank, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("t")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        rank = cut(ids.join(got, F.col("id") == F.col("t"), "left").select("id", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        now = F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+        rank = cut(rank.join(got, F.col("id") == F.col("t"), "left").select("id", now.alias("rank"), F.abs(now - F.col("rank")).alias("change")))
+        if (rank.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        raise ValueError(f"no rank within {tolerance} after {most} rounds")
     top = rank.agg(F.max("rank").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
 

@@ -65,4 +65,4 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-from graphloom.plans import core, formats  # noqa: E402, F401  (they register their queries here)
+from graphloom.plans import core, formats, store  # noqa: E402, F401  (they register their queries here)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.operators import drift as D
 from graphloom.operators import graph as G
 from graphloom.operators import resolve as R
 from graphloom.operators import retrieval as T
@@ -54,7 +55,7 @@ def _tier(p: str) -> str:
 
 
 _SCOPE = "CASE WHEN regexp_replace({p}, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_replace({p}, '/?[^/]*$', '') END"
-NODES = f"n AS (SELECT {_canon('id')} AS id, min(name) AS name, min(kind) AS kind, min(description) AS description, min(aliases) AS aliases, min(sources) AS sources, min(confidence) AS confidence, min(def_line) AS def_line FROM entities GROUP BY 1)"
+NODES = f"n0 AS (SELECT {_canon('id')} AS id, arg_min({{'name': name, 'kind': kind, 'description': description, 'aliases': aliases, 'sources': sources, 'kinds': kinds, 'source_tier': source_tier, 'centrality': centrality, 'confidence': confidence, 'def_line': def_line}}, coalesce(seen_at, TIMESTAMP '{G.LATE}')) AS f FROM entities GROUP BY 1), n AS (SELECT id, f.name, f.kind, f.description, f.aliases, f.sources, f.kinds, f.source_tier, f.centrality, f.confidence, f.def_line FROM n0)"
 EDGES = f"""e AS (SELECT source_id, target_id, kind, min(rel_id) AS rel_id, arg_min({{'w': weight, 'd': drift}}, rel_id) AS f FROM (SELECT {_canon('source_id')} AS source_id, {_canon('target_id')} AS target_id, kind, rel_id, weight, drift FROM relationships)
   WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id GROUP BY 1, 2, 3)"""
 ADJ = "adj AS (SELECT source_id AS a, target_id AS b, kind FROM e UNION ALL SELECT target_id, source_id, kind FROM e)"
@@ -126,31 +127,49 @@ def role_override(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.coalesce(best, S.classify_source(F.col("p"))).alias("tier")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-_CONF = GRAPH + f""", {_AUTH}, dr AS (SELECT source_id AS id, sum({W} * f.d) / nullif(sum({W}), 0) AS drift FROM e WHERE f.d IS NOT NULL GROUP BY 1),
+_CONF = GRAPH + f""", {_AUTH}, dr AS (SELECT source_id AS id, sum(({W}::DECIMAL(18,9) * f.d::DECIMAL(18,9))::DECIMAL(28,14))::DOUBLE / nullif(sum({W}::DECIMAL(18,9))::DOUBLE, 0) AS drift FROM e WHERE f.d IS NOT NULL GROUP BY 1),
 cf AS (SELECT n.id, coalesce(authority, {S.TIER_DEFAULT}) AS authority, coalesce(drift, 0) AS drift FROM n LEFT JOIN au USING (id) LEFT JOIN dr USING (id)) """
 
 
-@query("node_drift", _CONF + "SELECT id, round(drift, 6) AS drift FROM cf WHERE drift > 0")
+@query("node_drift", _CONF + "SELECT id, round(drift::DECIMAL(20,9), 6)::DOUBLE AS drift FROM cf WHERE drift > 0")
 def node_drift(spark: SparkSession, d: str) -> DataFrame:
-    return G.confidence(_n(spark, d), _e(spark, d)).filter("drift > 0").select("id", F.round("drift", 6).alias("drift"))
+    return G.confidence(_n(spark, d), _e(spark, d)).filter("drift > 0").select("id", G.places(F.col("drift"), 6).alias("drift"))
 
 
-@query("confidence_with_drift", _CONF + "SELECT id, authority, round(authority * (1 - drift), 6) AS confidence FROM cf")
+@query("confidence_with_drift", _CONF + "SELECT id, authority, round((authority * (1 - drift))::DECIMAL(20,9), 6)::DOUBLE AS confidence FROM cf")
 def confidence_with_drift(spark: SparkSession, d: str) -> DataFrame:
-    return G.confidence(_n(spark, d), _e(spark, d)).select("id", "authority", F.round("confidence", 6).alias("confidence"))
+    return G.confidence(_n(spark, d), _e(spark, d)).select("id", "authority", G.places(F.col("confidence"), 6).alias("confidence"))
 
 
 @query(
     "churn_interval",
-    """WITH k AS (SELECT o_custkey, o_orderkey AS since FROM orders WHERE o_orderkey % 7 = 0)
-    SELECT k.o_custkey, k.since, round(sum(o.o_totalprice), 2) AS churn, count(*) AS n_later FROM k JOIN orders o ON o.o_custkey = k.o_custkey AND o.o_orderkey > k.since GROUP BY 1, 2""",
+    """SELECT k.o_custkey, k.o_orderkey AS since, round(sum(o.o_totalprice)::DECIMAL(28,6), 2)::DOUBLE AS churn, count(*) AS n_later
+    FROM orders k JOIN orders o ON o.o_custkey = k.o_custkey AND o.o_orderkey > k.o_orderkey GROUP BY 1, 2""",
 )
 def churn_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Interval join: what changed of a referent after its claimant's commit; the equal key keeps it a hash or merge join."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    k = o.filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("since"))
-    j = o.join(k, (F.col("o_custkey") == F.col("c")) & (F.col("o_orderkey") > F.col("since")))
-    return j.groupBy("o_custkey", "since").agg(F.round(F.sum("o_totalprice"), 2).alias("churn"), F.count(F.lit(1)).alias("n_later"))
+    """Interval join of every order with the later ones of its customer, as running sums over one sort instead of pairs."""
+    return D.changed_after(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_custkey", F.col("o_orderkey").alias("since"), F.round(F.col("changed").cast("decimal(28,6)"), 2).cast("double").alias("churn"), "n_later")
+
+
+_LOG = "lg AS (SELECT source_path AS path, committed_at AS ord, sum(len(string_split(chunk_text, chr(10)))) AS changed FROM (SELECT DISTINCT source_path, chunk_no, committed_at, chunk_text FROM chunks WHERE source_path IS NOT NULL AND committed_at IS NOT NULL AND chunk_text IS NOT NULL) GROUP BY 1, 2), sz AS (SELECT path, sum(changed) AS size FROM lg GROUP BY 1)"
+_ENDS_WITH = "(" + " OR ".join(f"ends_with(x, '{s}')" for s in S.CODE_EXT) + ")"
+
+
+@query(
+    "drift_pass",
+    GRAPH
+    + f""", {_AUTH}, {_LOG}, k AS (SELECT id, list_filter(sources, lambda x: {_ENDS_WITH}) AS cs, list_filter(sources, lambda x: NOT {_ENDS_WITH}) AS ds FROM n),
+    j AS (SELECT kind, CASE WHEN len(t.cs) > 0 THEN s.id ELSE t.id END AS claimant, CASE WHEN len(t.cs) > 0 THEN s.ds[1] ELSE t.ds[1] END AS doc, CASE WHEN len(t.cs) > 0 THEN t.cs[1] ELSE s.cs[1] END AS code FROM e JOIN k s ON s.id = source_id JOIN k t ON t.id = target_id WHERE (coalesce(len(s.cs), 0) > 0) <> (coalesce(len(t.cs), 0) > 0)),
+    c AS (SELECT j.*, (SELECT sum(changed) FROM lg WHERE lg.path = j.code AND lg.ord > (SELECT max(ord) FROM lg l2 WHERE l2.path = j.doc)) AS churn, sz.size FROM j LEFT JOIN sz ON sz.path = j.code WHERE doc IS NOT NULL AND code IS NOT NULL),
+    f AS (SELECT claimant AS id, {W} AS w, CASE WHEN churn > 0 AND size > 0 THEN least(1.0, churn::DOUBLE / size) ELSE 0 END AS drift FROM c), g AS (SELECT id, sum((w::DECIMAL(18,9) * drift::DECIMAL(18,9))::DECIMAL(28,14))::DOUBLE / nullif(sum(w::DECIMAL(18,9))::DOUBLE, 0) AS drift FROM f GROUP BY 1)
+    SELECT n.id, coalesce(authority, {S.TIER_DEFAULT}) AS authority, round(coalesce(drift, 0)::DECIMAL(20,9), 5)::DOUBLE AS drift FROM n LEFT JOIN au USING (id) LEFT JOIN g USING (id)""",
+)
+def drift_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of documents behind the code that they speak about, from the commits of the chunks as a log."""
+    c = table(spark, d, "chunks").select("source_path", "chunk_no", "committed_at", "chunk_text").filter("source_path IS NOT NULL AND committed_at IS NOT NULL AND chunk_text IS NOT NULL").distinct()
+    log = c.groupBy(F.col("source_path").alias("path"), F.col("committed_at").alias("ord")).agg(F.sum(F.size(F.split("chunk_text", "\n"))).alias("changed"))
+    sizes = log.groupBy("path").agg(F.sum("changed").alias("size"))
+    return D.drift_pass(_n(spark, d), _e(spark, d), log, sizes).select("id", "authority", G.places(F.col("drift"), 5).alias("drift"))
 
 
 @query("containment_spine", GRAPH + ", p AS (SELECT target_id AS id, arg_min(source_id, rel_id) AS parent FROM e WHERE kind = 'contains' GROUP BY 1) SELECT id, parent FROM p")
@@ -161,7 +180,7 @@ def containment_spine(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "containment_depth",
     "WITH RECURSIVE " + f"{NODES}, {EDGES}" + """, p AS (SELECT target_id AS id, arg_min(source_id, rel_id) AS parent FROM e WHERE kind = 'contains' GROUP BY 1),
-    t AS (SELECT id, 0 AS depth FROM n WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, t.depth + 1 FROM p JOIN t ON p.parent = t.id WHERE t.depth < 32)
+    t AS (SELECT id, 0 AS depth FROM n WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, t.depth + 1 FROM p JOIN t ON p.parent = t.id)
     SELECT depth, count(*) AS n_nodes FROM t GROUP BY 1""",
 )
 def containment_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -529,14 +548,14 @@ _SNAP = "SELECT source_path AS path, min(sha256(text)) AS digest FROM documents
 
 @query(
     "incremental_changed",
-    f"WITH o AS ({_SNAP.format(w='created_at < TIMESTAMP 2025-05-01'.replace('2025-05-01', chr(39) + '2025-05-01' + chr(39)))}), n AS ({_SNAP.format(w='doc_id % 10 <> 0')}) "
+    f"WITH o AS ({_SNAP.format(w='created_at < TIMESTAMP 2025-05-01'.replace('2025-05-01', chr(39) + '2025-05-01' + chr(39)))}), n AS ({_SNAP.format(w='created_at >= TIMESTAMP ' + chr(39) + '2025-02-01' + chr(39))}) "
     "SELECT path, CASE WHEN o.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN n USING (path) WHERE o.digest IS DISTINCT FROM n.digest",
 )
 def incremental_changed(spark: SparkSession, d: str) -> DataFrame:
-    """Two snapshots of one corpus, an early one and one that lost some files, and what changed between them."""
+    """Two snapshots of one corpus, one of before May and one of what was made from February on, and what changed between them."""
     t = table(spark, d, "documents").filter("text IS NOT NULL AND source_path IS NOT NULL")
     snap = lambda x: x.groupBy(F.col("source_path").alias("path")).agg(F.min(F.sha2("text", 256)).alias("digest"))
-    return V.changed(snap(t.filter("created_at < TIMESTAMP_NTZ '2025-05-01'")), snap(t.filter("doc_id % 10 <> 0")))
+    return V.changed(snap(t.filter("created_at < TIMESTAMP_NTZ '2025-05-01'")), snap(t.filter("created_at >= TIMESTAMP_NTZ '2025-02-01'")))
 
 
 @query(
