@@ -11,14 +11,18 @@ from graphloom.functions import scalars as S
 K, SEEDS, DECAY, EXPANSION, RATIO = 10, 3, 0.6, 5, 0.5
 
 
-def search(chunks: DataFrame, query: list[float], k: int = K, scope: str | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: list[float], k: int = K, scope: str | None = None, repeats: int = 8) -> DataFrame:
     """The ``k`` most similar chunks, once an id: id, score, rank from 1. Ties go to the smaller id.
 
-    The query is one vector, so it is a literal of the plan; each task keeps its own ``k`` best.
+    The query is one vector, so it is a literal of the plan. Rows are scored where they lie, and each task keeps its best
+    alone; vectors are not shuffled. An id counts by its best row. Equal rows of an id are one; of unlike ones there may be
+    ``repeats`` for each id that a task keeps.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
-    one = chunks.filter(S.in_scope(F.col("scope"), scope)).groupBy("id").agg(F.min("embedding").alias("embedding"))
-    hits = one.select("id", S.cosine(F.col("embedding"), q).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+    scored = chunks.filter(S.in_scope(F.col("scope"), scope) & F.col("id").isNotNull()).select("id", S.cosine(F.col("embedding"), q).alias("score"), F.spark_partition_id().alias("task"))
+    best = Window.partitionBy("task").orderBy(F.col("score").desc(), "id")
+    few = scored.withColumn("r", F.dense_rank().over(best)).filter(F.col("r") <= k * repeats)
+    hits = few.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.runtime import small_enough
 
 
 def summaries(chunks: DataFrame) -> DataFrame:
@@ -100,6 +101,25 @@ def ground_concepts(nodes: DataFrame, concepts: DataFrame) -> DataFrame:
     return names.join(labels, "k").select("node_id", "id").distinct()
 
 
+def concept_mentions(docs: DataFrame, concepts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(node_id, doc_id): documents in which a label of a concept stands, word for word; case and marks do not matter.
+
+    Texts become runs of as many words as labels have, which are looked up by an equal key; labels are broadcast if there are
+    ``most`` or less of them. Blank labels and null texts name nothing.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    labels = concepts.select("node_id", F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("l")).select("node_id", words(F.col("l")).alias("w"))
+    labels = labels.filter(F.size("w") > 0).select("node_id", F.array_join("w", " ").alias("k"), F.size("w").alias("n")).distinct()
+    sizes = sorted(r.n for r in labels.select("n").distinct().collect())
+    if not sizes:
+        return docs.select("doc_id").limit(0).crossJoin(labels.select("node_id").limit(0)).select("node_id", "doc_id")
+    few = F.broadcast(labels) if small_enough(labels, most) else labels
+    t = docs.filter("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = F.array_distinct(F.concat(*(F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    return t.select("doc_id", F.explode(runs).alias("k")).join(few.drop("n"), "k").select("node_id", "doc_id").distinct()
+
+
 def token_frequencies(nodes: DataFrame) -> DataFrame:
     """(token, n_entities): in how many entities' names each identifier word occurs."""
     return nodes.select("id", F.explode(S.identifier_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count_distinct("id").alias("n_entities"))

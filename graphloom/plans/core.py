@@ -241,7 +241,7 @@ _COS = "CASE WHEN embedding IS NULL OR len(embedding) <> len(q) THEN 0 ELSE coal
 
 
 def _hits(where: str = "TRUE") -> str:
-    return f"h AS (SELECT id, {_COS} AS score FROM (SELECT id, min(embedding) AS embedding FROM chunks WHERE {where} GROUP BY 1), (SELECT {_Q} AS q) ORDER BY score DESC, id LIMIT 10), hr AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM h)"
+    return f"h AS (SELECT id, max({_COS}) AS score FROM (SELECT id, embedding FROM chunks WHERE ({where}) AND id IS NOT NULL), (SELECT {_Q} AS q) GROUP BY 1 ORDER BY score DESC, id LIMIT 10), hr AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM h)"
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -558,13 +558,17 @@ def incremental_changed(spark: SparkSession, d: str) -> DataFrame:
     return V.changed(snap(t.filter("created_at < TIMESTAMP_NTZ '2025-05-01'")), snap(t.filter("created_at >= TIMESTAMP_NTZ '2025-02-01'")))
 
 
+_WORDS = "' ' || trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) || ' '"
+
+
 @query(
-    "concept_alias_ground",
-    GRAPH + f""", lb AS (SELECT DISTINCT node_id, {_key('l')} AS k FROM (SELECT node_id, unnest(list_concat([pref_label], alt_labels)) AS l FROM concepts)), nm AS (SELECT DISTINCT id, {_key('x')} AS k FROM (SELECT id, unnest(list_concat([name], aliases)) AS x FROM n))
-    SELECT DISTINCT node_id, id FROM lb JOIN nm USING (k) WHERE k <> ''""",
+    "concept_mentions",
+    f"""WITH lb AS (SELECT DISTINCT node_id, {_WORDS.format(c='l')} AS k FROM (SELECT node_id, unnest(list_concat([pref_label], alt_labels)) AS l FROM concepts)), tx AS (SELECT doc_id, {_WORDS.format(c='text')} AS t FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT node_id, doc_id FROM lb JOIN tx ON contains(t, k) WHERE trim(k) <> ''""",
 )
-def concept_alias_ground(spark: SparkSession, d: str) -> DataFrame:
-    return V.ground_concepts(_n(spark, d), table(spark, d, "concepts"))
+def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that name a concept by any of its labels."""
+    return V.concept_mentions(table(spark, d, "documents"), table(spark, d, "concepts"))
 
 
 @query("aspect_recall", f"WITH {NODES} SELECT id, coalesce(contains(lower(description), 'retries'), FALSE) OR coalesce(contains(lower(name), 'queue'), FALSE) AS by_word, coalesce(regexp_matches(description, 'after \\d+ failed'), FALSE) AS by_shape FROM n WHERE coalesce(contains(lower(description), 'retries'), FALSE) OR coalesce(contains(lower(name), 'queue'), FALSE) OR coalesce(regexp_matches(description, 'after \\d+ failed'), FALSE)")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +21,42 @@ GENERATED = frozenset(("AGENTS.md", "CLAUDE.md"))
 def walk(spark: SparkSession, root: str, also_skip: tuple[str, ...] = ()) -> DataFrame:
     """(path): files below ``root`` by their relative paths, without hidden and skipped parts and written views.
 
-    Only names are listed on the driver; :func:`read` opens the files in tasks. Names that begin with ``_`` are kept.
+    The driver lists the root alone; each of its directories is walked by a task. ``root`` is local or of any file system
+    that Arrow opens by its address. Names that begin with ``_`` are kept. Rows are in no order.
     """
     skip = SKIPPED | set(also_skip)
-    found = []
-    for top, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in skip and not d.startswith("."))
-        rel = os.path.relpath(top, root)
-        found += [(n if rel == "." else f"{rel}/{n}",) for n in names if n not in GENERATED and not n.startswith(".")]
-    return spark.createDataFrame(sorted(found, key=lambda r: r[0].split("/")), "path string")
+
+    def opened() -> tuple[fs.FileSystem, str]:
+        files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+        return files, base.rstrip("/")
+
+    def listed(files: fs.FileSystem, base: str, rel: str) -> tuple[list[str], list[str]]:
+        dirs, names = [], []
+        for x in files.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"))):
+            n = x.base_name
+            if n.startswith("."):
+                continue
+            at = f"{rel}/{n}" if rel else n
+            if x.type == fs.FileType.Directory and n not in skip:
+                dirs.append(at)
+            elif x.type == fs.FileType.File and n not in GENERATED:
+                names.append(at)
+        return dirs, names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = opened()
+        for f in frames:
+            left = list(f["path"])
+            while left:
+                dirs, names = listed(files, base, left.pop())
+                left += dirs
+                yield pd.DataFrame({"path": names}, dtype=object)
+
+    dirs, names = listed(*opened(), "")
+    top = spark.createDataFrame([(n,) for n in names], "path string")
+    if not dirs:
+        return top
+    return top.unionByName(spark.createDataFrame([(x,) for x in dirs], "path string").repartition(len(dirs)).mapInPandas(run, "path string"))
 
 
 def read(paths: DataFrame, root: str) -> DataFrame:
@@ -95,8 +123,8 @@ def cache_key(model: str, ontology_hash: str, context: str, text_col: str):
 
 
 def write_snapshot(df: DataFrame, table_dir: str, commit: str) -> None:
-    """Replaces the partition of one graph_commit; readers see it when the job has committed its files."""
-    df.drop("graph_commit").write.mode("overwrite").parquet(f"{table_dir}/graph_commit={commit}")
+    """Replaces the partition of one graph_commit. The old files stay until the job commits the new ones, which are staged apart."""
+    df.withColumn("graph_commit", F.lit(commit)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_commit").parquet(table_dir)
 
 
 def append_journal(spark: SparkSession, path: str, command: str, args: list[str], ms: int, code: int, commit: str | None) -> None:

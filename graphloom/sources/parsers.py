@@ -74,23 +74,55 @@ _JS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s
 _IMPORT = re.compile(r"^\s*(?:import|export)\b[^'\"]*?from\s+['\"]([^'\"]+)['\"]|^\s*import\s+['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)")
 
 
+_JS_METHOD = re.compile(r"^\s*(?:(?:public|private|protected|static|async|override|readonly|get|set|abstract)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*\([^;]*$")
+_JS_CALL = re.compile(r"(?<![\w$.])(new\s+)?((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
+_JS_BLANK = re.compile(r"//.*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`")
+_JS_WORDS = frozenset("if for while switch catch return function typeof await super import constructor do else with yield delete void in of new".split())
+
+
 def javascript(path: str, text: str) -> tuple[Things, Links]:
-    """module, class (interfaces and enums too), function; contains, imports, inherits and implements."""
+    """module, class (interfaces and enums too), function and Class.method; contains, imports, inherits, implements, calls.
+
+    Braces tell what stands in what: a stack of open declarations with the depth at which each began. Calls belong to the
+    innermost function, each callee once; ``this.f`` is ``f``.
+    """
     mod = _stem(path)
     things: Things = [(mod, "module", 0)] if text.strip() else []
     links: Links = []
+    open_: list[tuple[str, str, int]] = []
+    called: set[tuple[str, str]] = set()
+    depth = 0
     for k, line in enumerate(text.split("\n")):
+        bare = _JS_BLANK.sub('""', line)
+        name, kind = None, None
         if m := _JS.match(line):
-            name = m.group(2) or m.group(4) or m.group(5)
-            things.append((name, "class" if m.group(2) else "function", k))
-            if name != mod:
-                links.append((mod, name, "contains", k))
+            name, kind = m.group(2) or m.group(4) or m.group(5), "class" if m.group(2) else "function"
             if rest := m.group(3):
-                for word, kind in (("extends", "inherits"), ("implements", "implements")):
+                for word, link in (("extends", "inherits"), ("implements", "implements")):
                     if x := re.search(rf"\b{word}\s+([\w$.,\s]+?)(?=\bextends\b|\bimplements\b|\{{|$)", rest):
-                        links.extend((name, b.strip(), kind, k) for b in x.group(1).split(",") if b.strip())
+                        links.extend((name, b.strip(), link, k) for b in x.group(1).split(",") if b.strip())
+        elif open_ and open_[-1][1] == "class" and depth == open_[-1][2] + 1 and (m := _JS_METHOD.match(bare)) and m.group(1) not in _JS_WORDS - {"constructor"}:
+            name, kind = f"{open_[-1][0]}.{m.group(1)}", "function"
+        if name:
+            things.append((name, kind, k))
+            owner = open_[-1][0] if open_ and open_[-1][1] == "class" else mod
+            if name != mod:
+                links.append((owner, name, "contains", k))
         if m := _IMPORT.search(line):
             links.append((mod, m.group(1) or m.group(2) or m.group(3), "imports", k))
+        inner = name if kind == "function" else next((n for n, what, _ in reversed(open_) if what == "function"), None)
+        for m in _JS_CALL.finditer(bare):
+            callee = m.group(2).removeprefix("this.")
+            own = inner and callee in (inner, inner.rsplit(".", 1)[-1]) and kind == "function"
+            if inner and not own and callee.split(".")[0] not in _JS_WORDS and (inner, callee) not in called:
+                called.add((inner, callee))
+                links.append((inner, callee, "calls", k))
+        after = depth + bare.count("{") - bare.count("}")
+        if name and after > depth:
+            open_.append((name, kind, depth))
+        depth = after
+        while open_ and depth <= open_[-1][2]:
+            open_.pop()
     return _unique(things), _unique(links)
 
 
@@ -259,6 +291,8 @@ def graphql(path: str, text: str) -> tuple[Things, Links]:
             root = kind == "type" and owner in ("Query", "Mutation", "Subscription")
             if not root:
                 things.append((owner, kind, k))
+            if bare.lstrip().startswith("extend"):
+                links.append((owner, owner, "extends", k))
             links.extend((owner, i, "implements", k) for i in re.findall(r"\w+", rest.split("implements", 1)[1]) if "implements" in rest) if "implements" in rest else None
             links.extend((owner, u, "references", k) for u in re.findall(r"\w+", members or ""))
         elif depth == 1 and owner and (m := re.match(r"\s*(\w+)\s*(?:\(([^)]*)\))?\s*:\s*([\[\]!\w\s]+)", bare)):

@@ -22,6 +22,9 @@ def test_other_languages():
     t, e = parsers.javascript("p/app.ts", "import { X } from './x';\nexport class A extends B implements C {\n}\nexport const f = async (a) => 1;\nfunction g() {}\ninterface I {}\n")
     assert names(t) == {("app", "module"), ("A", "class"), ("f", "function"), ("g", "function"), ("I", "class")}
     assert {("app", "./x", "imports"), ("A", "B", "inherits"), ("A", "C", "implements")} <= {(a, b, k) for a, b, k, _ in e}
+    t, e = parsers.javascript("p/k.js", "class A {\n  constructor(x) {\n    super(x);\n    this.go(1);\n  }\n  async go(y) {\n    if (y) { helper(y); api.get('/x(') }\n    helper(2);\n  }\n}\nfunction top() {\n  function inner() { return new A(); }\n  return inner();\n}\n")
+    assert names(t) == {("k", "module"), ("A", "class"), ("A.constructor", "function"), ("A.go", "function"), ("top", "function"), ("inner", "function")}
+    assert {(a, b, k) for a, b, k, _ in e} == {("k", "A", "contains"), ("A", "A.constructor", "contains"), ("A", "A.go", "contains"), ("k", "top", "contains"), ("k", "inner", "contains"), ("A.constructor", "go", "calls"), ("A.go", "helper", "calls"), ("A.go", "api.get", "calls"), ("inner", "A", "calls"), ("top", "inner", "calls")}
     t, e = parsers.rust("p/lib.rs", "use a::b;\npub struct S {}\nimpl T for S {\n    fn m(&self) {\n    }\n}\nfn free() {}\ntrait T {}\n")
     assert names(t) == {("lib", "module"), ("S", "struct"), ("S::m", "function"), ("free", "function"), ("T", "trait")}
     assert ("S", "T", "implements", None) in e
@@ -77,6 +80,7 @@ def test_incremental_stream(spark, tmp_path):
     assert {x[:2] for x in step([("a", "1", at(1)), ("b", "1", at(1)), ("a", "2", at(2))])} == {("a", "2"), ("b", "1")}
     second = step([("a", "2", at(3)), ("b", "5", at(3))])
     assert {x[:2] for x in second} == {("a", "2"), ("b", "1"), ("b", "5")}
+    assert {x[:2] for x in step([("b", "5", at(4)), ("c", "9", at(4))])} == {("a", "2"), ("b", "1"), ("b", "5"), ("c", "9")}
 
 
 def test_windows_on_a_table(spark):
