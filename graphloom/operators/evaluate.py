@@ -82,7 +82,7 @@ def answer_sections(answers: DataFrame, text: str = "text") -> DataFrame:
     part = F.explode(F.expr(f"filter(split(x, '(?m)^(?=## *Q[0-9]+)'), s -> s rlike '^## *Q[0-9]+')")).alias("s")
     s = answers.select("id", t.alias("x")).select("id", part)
     title = F.trim(F.regexp_extract("s", r"^## *Q\d+[.:) -]*([^\n]*)", 1))
-    return s.select("id", F.regexp_extract("s", r"^## *(Q\d+)", 1).alias("question"), title.alias("title"), F.trim(F.regexp_replace("s", r"^[^\n]*\n?", "")).alias("body"))
+    return s.select("id", F.regexp_extract("s", r"^## *(Q\d+)", 1).alias("question"), title.alias("title"), F.regexp_replace(F.regexp_replace("s", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def paths_in(text: Column) -> Column:
