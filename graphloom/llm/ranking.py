@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import salted_join
+from graphloom.runtime import cut, salted_join
 
 #: Coefficients of Acklam's rational approximation of the inverse normal distribution.
 A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -41,19 +41,19 @@ def percentiles(long: DataFrame, hot_rows: int = 200_000) -> DataFrame:
     """``long`` (g, k, value and further columns) with ``p``: the share of its group below each value plus half of its ties.
 
     Null values are below every other and tie with each other. Equal values are counted first, so ties of any size are
-    one row; counts are summed by coarse ranges of the value and then within them, so a group of any size is spread over
-    as many tasks as it has ranges, and no window spans more distinct values than one range of one group has.
+    one row; the counts are split into ranges of equal size in the order of group, score and value, whatever the scale,
+    summed by range and then within each, so a group of any size is spread over many tasks. The ranges are written to a
+    checkpoint, as their borders come from a sample and would differ if a lost task drew them anew.
     """
     long = long.withColumn("void", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))
     counts = long.groupBy("g", "k", "void", "value").agg(F.count(F.lit(1)).alias("c"))
-    v = F.col("value")
-    band = F.when(F.col("void"), F.lit(-1_000_000)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * 64).cast("long"))
-    counts = counts.withColumn("band", band)
+    counts = counts.repartitionByRange("g", "k", ~F.col("void"), "value").withColumn("band", F.spark_partition_id())
+    counts = cut(counts)
     bands = counts.groupBy("g", "k", "band").agg(F.sum("c").alias("size"))
     every = Window.partitionBy("g", "k")
     before = every.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select("g", "k", "band", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("under"), F.sum("size").over(every).alias("n"))
-    same = Window.partitionBy("g", "k", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("g", "k", "band").orderBy(~F.col("void"), "value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("c").over(same), F.lit(0)))
     p = (F.col("under") + F.col("inside") + F.col("c") / 2) / F.col("n")
     ranked = counts.join(bands, ["g", "k", "band"]).select("g", "k", "void", "value", p.alias("p"))
