@@ -108,7 +108,7 @@ def entity_scores(entities: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def entity_order(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """(graph_commit, id, score): the entities of each commit over four scores of equal say; low drift is good."""
-    s = entity_scores(entities, relationships)
+    s = cut(entity_scores(entities, relationships))
     return fuse(s, "graph_commit", "id", [("source_tier", True, 1.0), ("centrality", True, 1.0), ("weight", True, 1.0), ("drift", False, 1.0)])
 
 
