@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.runtime import cut
 
 #: Hits, seeds, decay of a hop, most expanded rows, and their least score against the weakest hit.
 K, SEEDS, DECAY, EXPANSION, RATIO = 10, 3, 0.6, 5, 0.5
@@ -52,6 +53,7 @@ def expand(ranked: DataFrame, nodes: DataFrame, adjacency: DataFrame) -> DataFra
     A neighbour scores its seed's score times the edge's weight, the decay and its own confidence; it must reach RATIO
     of the weakest hit, is taken once by its best edge, and at most EXPANSION are taken.
     """
+    ranked = cut(ranked)  # some ten rows, which are read four times
     best = ranked.filter("is_entity").orderBy(F.col("find_score").desc(), "id").limit(SEEDS).select(F.col("id").alias("seed"), F.col("find_score").alias("s"))
     weakest = ranked.agg(F.min("find_score").alias("weakest"))
     more = adjacency.join(F.broadcast(best), F.col("a") == F.col("seed")).join(F.broadcast(ranked.select(F.col("id").alias("b"))), "b", "left_anti")

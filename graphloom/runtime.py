@@ -77,17 +77,18 @@ def salted_join(
     """Join on ``keys`` where some keys of ``left`` may hold a large part of all rows.
 
     Keys with more than ``hot_rows`` rows in ``left`` are found by a pre-aggregated count and get as many salts as they
-    have times ``hot_rows`` rows; only their partners in ``right`` are repeated, once a salt. The list of hot keys is
-    broadcast and holds the ``most_hot`` largest at most: a key beyond it has less than 1 / ``most_hot`` of all rows and
+    have times ``hot_rows`` rows; only their partners in ``right`` are repeated, once a salt. The list of hot keys goes
+    through the driver, is broadcast and holds the ``most_hot`` largest at most: a key beyond it has less than 1 / ``most_hot`` of all rows and
     is joined whole like every other key. Without a hot key this is a plain join. Null keys join nothing.
     """
     keys = [keys] if isinstance(keys, str) else keys
     counts = left.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > hot_rows)
     salts = F.ceil(F.col("count") / hot_rows).cast("int").alias("__n")
-    hot = cut(counts.orderBy(F.col("count").desc()).limit(most_hot).select(*keys, salts))
-    if not hot.take(1):
+    hot = counts.orderBy(F.col("count").desc()).limit(most_hot).select(*keys, salts)
+    rows = hot.collect()
+    if not rows:
         return left.join(right.hint("merge"), keys, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
     lsalt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__n")).cast("int"), F.lit(0))
     l2 = left.join(hot, keys, "left").withColumn("__salt", lsalt).drop("__n")
     r2 = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1))).drop("__n")
