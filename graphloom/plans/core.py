@@ -463,7 +463,24 @@ def resolver_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.resolver_stats(n, m, e, ends)
 
 
-@query("drop_buckets")
+_BARE = r"""CASE WHEN regexp_extract(t, '^(.+?) \((?:module|class|function|interface), .+\)$', 1) <> '' THEN trim(regexp_extract(t, '^(.+?) \((?:module|class|function|interface), .+\)$', 1))
+  WHEN contains(t, ':') AND (@ends@) AND substr(t, strpos(t, ':') + 1) <> '' AND NOT regexp_matches(substr(t, strpos(t, ':') + 1), '^\d') THEN trim(substr(t, strpos(t, ':') + 1)) ELSE t END""".replace("@ends@", " OR ".join(f"ends_with(trim(split_part(t, ':', 1)), '{x}')" for x in S.CODE_EXT))
+
+
+def _ends_code(c: str) -> str:
+    return "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in S.CODE_EXT) + ")"
+
+
+@query(
+    "drop_buckets",
+    _RES
+    + f""", ph AS (SELECT phrase, t, split_part(t, ':', 1) AS head, {_BARE} AS cand FROM (SELECT DISTINCT ref AS phrase, trim(ref) AS t FROM rs WHERE id IS NULL)),
+    cn AS (SELECT s AS name, count(DISTINCT id) AS n FROM (SELECT id, unnest(list_distinct(list_append(aliases, name))) AS s FROM cx WHERE is_code) GROUP BY 1),
+    bk AS (SELECT phrase, CASE WHEN {_ends_code('head')} AND regexp_replace(head, '^[./]+', '') IN (SELECT path FROM l_mod) THEN 'recoverable' WHEN cand = t AND contains(t, '/') AND NOT contains(t, ':') AND NOT {_ends_code('t')} THEN 'directory'
+      WHEN cand IN {S.STOPLIST!r} OR {_key('cand')} IN {S.STOPLIST!r} OR {_key('cand')} IN (SELECT key FROM l_amb) THEN 'ambiguous' WHEN c.n = 1 THEN 'recoverable' WHEN c.n > 1 THEN 'ambiguous' WHEN contains(cand, '.') AND d.n IS NULL THEN 'external'
+      WHEN len(regexp_split_to_array(t, '\\s+')) >= 3 THEN 'prose' ELSE 'no_referent' END AS bucket FROM ph LEFT JOIN cn c ON c.name = cand LEFT JOIN cn d ON d.name = regexp_extract(cand, '[^.]*$'))
+    SELECT bucket, count(*) AS n_phrases, array_to_string(list_slice(list_sort(list(phrase)), 1, 5), ', ') AS sample FROM bk GROUP BY 1""",
+)
 def drop_buckets(spark: SparkSession, d: str) -> DataFrame:
     m, n, t = _resolver(spark, d)
     lost = R.resolve_endpoints(_ends(spark, d), t).filter("id IS NULL").select(F.col("ref").alias("phrase"))
