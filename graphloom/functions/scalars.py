@@ -126,6 +126,26 @@ def in_scope(scope: Column, target: str | None) -> Column:
     return (scope == target) | scope.startswith(target + "/")
 
 
+def target_scope(scope: str | None, root: str) -> str | None:
+    """A scope as callers write it, as the path below ``root`` by which chunks are filed; None for all of it.
+
+    Absolute paths below the root become relative ones; nothing, ``.``, the root and its name mean everything. An absolute
+    path elsewhere is kept without its slashes and so matches nothing.
+    """
+    if scope is None:
+        return None
+    base = root.rstrip("/")
+    s = scope.replace("\\", "/")
+    s = s[len(base) :] if s == base or s.startswith(base + "/") else s
+    parts = [x for x in s.split("/") if x not in ("", ".")]
+    return None if not parts or parts == [base.rsplit("/", 1)[-1]] else "/".join(parts)
+
+
+def is_vocabulary_file(path: Column) -> Column:
+    """Whether a path is that of a vocabulary, which is hashed but gives no entities."""
+    return F.coalesce(F.lower(F.substring_index(path, "/", -1)).isin(*ONTOLOGY_FILES), F.lit(False))
+
+
 def identifier_tokens(name: Column) -> Column:
     """Lower-case words of four letters or more of a camel or snake case identifier."""
     apart = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z]+", " ")

@@ -31,8 +31,14 @@ def budgeted(rows: DataFrame, group: str, order: list, text_col: str, most_chars
 
 
 def evidence(files: DataFrame, patterns: list[str], most: int = 8) -> DataFrame:
-    """(path, line, snippet): lines of code that match a pattern, without comments; once a snippet of 120, first ``most``."""
+    """(path, line, snippet): lines of code that match a pattern, without comments and docstrings; once a snippet of 120, first ``most``.
+
+    A docstring goes from a line that opens triple quotes to the one that closes them: lines behind an odd number of them are in one.
+    """
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "l")).withColumn("t", F.trim("l"))
+    quotes = F.size(F.split("l", r"\"\"\"|'''")) - 1
+    before = F.coalesce(F.sum(quotes).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("inside", before % 2 == 1).filter("NOT inside")
     hit = F.lit(False)
     for p in patterns:
         hit = hit | F.col("l").rlike(p)

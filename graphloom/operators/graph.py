@@ -118,6 +118,24 @@ def scope_pairs(n: DataFrame, e: DataFrame) -> DataFrame:
     return j.groupBy(F.least("x", "y").alias("scope_a"), F.greatest("x", "y").alias("scope_b")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+def scope_density(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(n_edges, n_cross, density): edges between nodes, those whose ends' scopes are more than one, and their share.
+
+    All scopes of both ends count, so an edge inside a node that lies in two scopes is one of them. Null without edges.
+    """
+    s = n.select("id", F.coalesce(F.array_distinct(F.transform("sources", S.scope_of)), F.array().cast("array<string>")).alias("s"))
+    j = e.join(s.select(F.col("id").alias("source_id"), F.col("s").alias("a")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("s").alias("b")), "target_id")
+    d = j.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.size(F.array_union("a", "b")) > 1).alias("n_cross"))
+    return d.withColumn("density", F.when(F.col("n_edges") > 0, F.col("n_cross") / F.col("n_edges")))
+
+
+def name_degrees(raw: DataFrame) -> DataFrame:
+    """(name, degree): how often a name is an end of an extracted edge; repeated rows count once."""
+    r = raw.select("raw_id", "source_name", "target_name").distinct()
+    ends = r.select(F.explode(F.array("source_name", "target_name")).alias("name")).filter("name IS NOT NULL")
+    return ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def pagerank(n: DataFrame, e: DataFrame, tolerance: float = 1e-3, most: int = 200, damping: float = 0.85) -> DataFrame:
     """(id, rank): importance over structural edges, normalised to 1; dangling mass is dropped.
 

@@ -27,6 +27,16 @@ def list_by_scope(spark: SparkSession, d: str) -> DataFrame:
     return T.by_scope(_n(spark, d)).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+@query("scope_density", GRAPH + f", sl AS (SELECT id, coalesce(list_distinct(list_transform(sources, lambda p: {_SCOPE.format(p='p')})), []) AS s FROM n), j AS (SELECT len(list_distinct(list_concat(a.s, b.s))) > 1 AS x FROM e JOIN sl a ON a.id = source_id JOIN sl b ON b.id = target_id) SELECT count(*) AS n_edges, count(*) FILTER (WHERE x) AS n_cross, count(*) FILTER (WHERE x) / count(*) AS density FROM j")
+def scope_density(spark: SparkSession, d: str) -> DataFrame:
+    return G.scope_density(_n(spark, d), _e(spark, d))
+
+
+@query("name_degrees", "WITH r AS (SELECT DISTINCT raw_id, source_name, target_name FROM raw_relationships), x AS (SELECT source_name AS name FROM r UNION ALL SELECT target_name FROM r) SELECT name, count(*) AS degree FROM x WHERE name IS NOT NULL GROUP BY 1")
+def name_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return G.name_degrees(table(spark, d, "raw_relationships"))
+
+
 _LABEL = "pl AS (SELECT id, split_part(list_min(sources), '/', 1) AS project, def_line, kind FROM n)"
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import is_vocabulary_file
+
 #: A parsed thing: (name, kind, def_line) or (source, target, kind, source_line); lines count from 0.
 Things = list[tuple[str, str, int | None]]
 Links = list[tuple[str, str, str, int | None]]
@@ -326,7 +328,10 @@ def parse(path: str, text: str) -> tuple[Things, Links]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(source_file, row, name, target, kind, line) of (path, text): rows of ``entity`` and of ``edge``; target is null in the former."""
+    """(source_file, row, name, target, kind, line) of (path, text): rows of ``entity`` and of ``edge``; target is null in the former.
+
+    Vocabulary files give none.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -338,7 +343,7 @@ def extract(files: DataFrame) -> DataFrame:
                     out += [(path, "edge", a, b, k, at) for a, b, k, at in links]
             yield pd.DataFrame(out, columns=["source_file", "row", "name", "target", "kind", "line"]).astype({"line": "Int32"})
 
-    return files.select("path", "text").mapInPandas(run, "source_file string, row string, name string, target string, kind string, line int")
+    return files.filter(~is_vocabulary_file(F.col("path"))).select("path", "text").mapInPandas(run, "source_file string, row string, name string, target string, kind string, line int")
 
 
 def files_of_chunks(chunks: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import drift, evaluate, graph, store
-from graphloom.sources import settings
+from graphloom.functions import scalars as S
+from graphloom.operators import drift, evaluate, extract, graph, store
+from graphloom.sources import chunkers, parsers, settings
 
 ENT = "id string, name string, kind string, description string, aliases array<string>, sources array<string>, kinds array<string>, source_tier double, centrality double, confidence double, def_line int, graph_commit string, seen_at timestamp_ntz"
 
@@ -183,3 +184,27 @@ def test_long_chains_have_depths(spark):
     e = edge_rows(spark, [(f"n{k}", f"n{k + 1}", "contains") for k in range(35)] + [("x", "y", "contains"), ("y", "x", "contains")])
     got = {r.id: r.depth for r in graph.depths(n, e).collect()}
     assert got == {f"n{k}": k for k in range(36)}
+
+
+def test_scopes_as_callers_write_them():
+    for scope in (None, "", ".", "/data/port", "/data/port/", "port", "./"):
+        assert S.target_scope(scope, "/data/port") is None
+    assert S.target_scope("/data/port/a/b", "/data/port") == S.target_scope("a/b/", "/data/port") == S.target_scope("./a/b", "/data/port") == "a/b"
+    assert S.target_scope("/elsewhere/a", "/data/port") == "elsewhere/a"
+
+
+def test_vocabularies_docstrings_and_plain_text(spark):
+    f = spark.createDataFrame([("p/ontology.yaml", "a: 1\nb:\n  c: 2\n"), ("p/x.yaml", "b:\n  c: 2\n")], "path string, text string")
+    assert {r.source_file for r in parsers.extract(f).collect()} == {"p/x.yaml"}
+    code = 'def f():\n    """retry it\n    retry again\n    """\n    retry(1)\n    x = """retry"""\n    # retry\n    retry(2)\n'
+    got = extract.evidence(spark.createDataFrame([("p.py", code)], "path string, text string"), ["retry"]).orderBy("line").collect()
+    assert [r.line for r in got] == [5, 6, 8]
+    d = spark.createDataFrame([(1, "one  \r\n\r\n\r\n\r\ntwo"), (2, None)], "doc_id long, text string")
+    assert [r.chunk for r in chunkers.chunk(d, "doc_id", "text", "text").collect()] == ["one\n\ntwo"]
+
+
+def test_density(spark):
+    n = ents(spark, [("a", "class", ["p/a.py"], 0.0, 1.0), ("b", "class", ["p/b.py"], 0.0, 1.0), ("c", "class", ["q/c.py"], 0.0, 1.0)])
+    r = graph.scope_density(n, edge_rows(spark, [("a", "b", "calls"), ("a", "c", "calls")])).first()
+    assert (r.n_edges, r.n_cross, r.density) == (2, 1, 0.5)
+    assert graph.scope_density(n, edge_rows(spark, [("a", "b", "calls")]).limit(0)).first().density is None
